@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import bpe, maxent, packing, permutation_index, quality_classifier, quality_rules, reply_trees, simhash, substring_dedup, suffix_dedup
 from .common import table
 
 #: Where vocabulary files lie.
@@ -37,14 +38,35 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).drop("tag")
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    return reply_trees.digests(reply_trees.format_trees(reply_trees.chains(rows.unionByName(fixed)), best=1))
+
+
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -53,5 +75,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op4_suffix_dedup, op6_quality_rules, op9_substring_dedup, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_simhash, op3_permutation_index, op4_suffix_dedup, op5_quality_classifier, op6_quality_rules, op7_chat_trees, op8_maxent, op9_substring_dedup, op10_packing)
+}
+#: DuckDB SQL for the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_trees": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), marked AS (
+  SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) AS written,
+    length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) AS role_written FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + role_written + 2 + written + 8)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
+}
