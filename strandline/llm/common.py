@@ -73,3 +73,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table written once to the shared folder, compressed: for what is too large for raw checkpoints. Shuffle files
+    that only the table's lineage needed are let go."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
+def squeeze(df: DataFrame) -> DataFrame:
+    """``df`` with its column text compressed, as __z and __size: texts that have to be shuffled take a third of the room."""
+    names = [n for n in df.columns if n != "text"]
+
+    def run(batch: pa.RecordBatch):
+        codec = pa.Codec("zstd", compression_level=1)
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        z = [None if t is None else codec.compress(t, asbytes=True) for t in texts]
+        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(z, pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64())], [*names, "__z", "__size"])
+
+    fields = [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+    return map_arrow(df, run, ", ".join([*fields, "__z binary", "__size long"]))
+
+
+def unsqueeze(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a batch of ``squeeze``, as UTF-8."""
+    codec = pa.Codec("zstd")
+    return [None if z is None else codec.decompress(z, n, asbytes=True) for z, n in zip(batch.column("__z").to_pylist(), batch.column("__size").to_pylist(), strict=True)]

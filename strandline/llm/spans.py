@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, as_bytes, map_arrow
+from .common import WHITE, as_bytes, map_arrow, squeeze, unsqueeze
 from .rolling import Prefix, anchors, mix
 
 #: Bytes hashed together: bounds the arrays of a worker, but for a longer single text.
@@ -89,12 +89,12 @@ def runs(keyed_docs: DataFrame, window: int, gram: int, words: bool) -> DataFram
 def pieces(keyed_docs: DataFrame, open_runs: DataFrame, window: int, words: bool) -> DataFrame:
     """The bytes that each open run covers: id, tag, first, last and the columns of ``extra``. ``open_runs`` has id, tag, first, last, weight."""
     wanted = open_runs.groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last", "weight")).alias("wanted"))
-    joined = keyed_docs.select("id", "tag", "text").join(wanted, ["id", "tag"]).select("id", "tag", "text", "wanted")
+    joined = squeeze(keyed_docs.select("id", "tag", "text")).join(wanted, ["id", "tag"])
 
     def run(batch: pa.RecordBatch):
         rows: list[list] = [[], [], [], [], [], []]
-        ids, tags, wanted_ = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-        for k, data in enumerate(as_bytes(batch.column(2))):
+        ids, tags, wanted_ = (batch.column(c).to_pylist() for c in ("id", "tag", "wanted"))
+        for k, data in enumerate(unsqueeze(batch)):
             if words:
                 start, stop = word_edges(np.frombuffer(data, np.uint8))
             for w in wanted_[k]:
@@ -118,10 +118,10 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans (array of start * 2**32 + stop, or null) for each row of ``keyed_docs``."""
+    """The rows of ``keyed_docs``, their text squeezed, with spans (array of start * 2**32 + stop, or null)."""
     packed = spans.select("id", "tag", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("span"))
     packed = packed.groupBy("id", "tag").agg(F.collect_set("span").alias("spans"))
-    return keyed_docs.join(packed, ["id", "tag"], "left")
+    return squeeze(keyed_docs).join(packed, ["id", "tag"], "left")
 
 
 def unpack(values: list | None) -> tuple[np.ndarray, np.ndarray]:

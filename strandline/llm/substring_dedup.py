@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, map_arrow, prepare, shared_path
+from .common import as_bytes, keyed, map_arrow, prepare, shared_path, squeeze, store, unsqueeze
 from .rolling import Prefix
 from .spans import merged, pieces, runs, symbols, unpack, with_spans, word_edges
 
@@ -88,9 +88,9 @@ def _windows(parts: DataFrame, window: int) -> DataFrame:
 def earlier_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """id, tag, start, stop (words) of spans that together are all words covered by a window that also starts in a document of smaller id."""
     spark = documents.sparkSession
-    units = cut(runs(documents, window, gram, words=True))
+    units = store(runs(documents, window, gram, words=True), "runs")
     buckets = units.groupBy("core").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("hull").alias("low"), F.max("hull").alias("high"))
-    active = units.join(buckets.where("least < most"), "core")
+    active = store(units.join(buckets.where("least < most").drop("most"), "core"), "active")
     columns = ["id", "tag", "first", "last"]
     settled = active.where("low = high and id > least").select(*columns)
     mixed = active.where("low <> high")
@@ -98,7 +98,7 @@ def earlier_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     repeats = mixed.join(heads, ["core", "hull"]).where("id > one.id").select(*columns)
     open_ = heads.select("one.*", F.lit(1).cast("long").alias("weight"))
     parts = pieces(documents, open_, window, words=True)
-    windows = cut(_windows(parts, window))
+    windows = store(_windows(parts, window), "windows")
     edges = windows.select(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
     index = FingerprintIndex(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -111,7 +111,7 @@ def earlier_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
             rows = rows.where(F.col("id") <= edges[k])
         least = rows.groupBy("fp", "check").agg(F.min("id").alias("least"))
         if index.runs or k < len(edges):
-            least = cut(index.probe(least))
+            least = store(index.probe(least), "batch")
         else:
             least = index.probe(least)
         known = least.select("fp", "check", F.least("least", "before").alias("earliest"))
@@ -141,12 +141,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     columns take no part."""
     prepare(docs.sparkSession)
     documents = keyed(docs)
-    joined = with_spans(documents, earlier_spans(documents, window, batches=batches)).select("doc_id", "text", "spans")
+    joined = with_spans(documents, earlier_spans(documents, window, batches=batches)).select("doc_id", "__z", "__size", "spans")
 
     def run(batch: pa.RecordBatch):
         rows: list[list] = [[], [], []]
-        spans = batch.column(2).to_pylist()
-        for k, data in enumerate(as_bytes(batch.column(1))):
+        spans = batch.column("spans").to_pylist()
+        for k, data in enumerate(unsqueeze(batch)):
             n, removed, kept = _kept(data, spans[k])
             rows[0].append(n)
             rows[1].append(removed)
@@ -166,20 +166,19 @@ def clean(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
     packed = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), (F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("__s"))
     packed = packed.groupBy("__id", "__tag").agg(F.collect_set("__s").alias("__spans"))
     own = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__hash": F.hash("text")})
-    joined = own.join(packed, (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__tag")), "left")
-    joined = joined.select(*[F.col(f"`{n}`") for n in names], "__spans")
+    joined = squeeze(own).join(packed, (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__tag")), "left")
+    joined = joined.select(*[F.col(f"`{n}`") for n in names if n != "text"], "__z", "__size", "__spans")
 
     def run(batch: pa.RecordBatch):
         spans_ = batch.column("__spans").to_pylist()
-        at = batch.schema.get_field_index("text")
-        texts = batch.column(at).to_pylist()
+        texts = unsqueeze(batch)
         keep = [True] * len(texts)
         for k, found in enumerate(spans_):
             if found:
-                _, _, kept = _kept(texts[k].encode(), found)
-                texts[k] = b" ".join(kept).decode()
+                _, _, kept = _kept(texts[k], found)
+                texts[k] = b" ".join(kept)
                 keep[k] = bool(kept)
-        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
         yield pa.record_batch(columns, names).filter(pa.array(keep, pa.bool_()))
 
     out = map_arrow(joined, run, docs.schema)
