@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, map_arrow, prepare
+from .common import as_bytes, keyed, map_arrow, prepare, store, unsqueeze
 from .rolling import Prefix, anchors, mix
 from .spans import BYTE_VALUES, merged, pieces, runs, unpack, with_spans
 
@@ -44,7 +44,7 @@ def refine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled, open): units whose windows all occur elsewhere, and one unit per core and hull for which that is open.
     ``units`` has the columns of UNITS; weight counts the places a unit stands for."""
     buckets = units.groupBy("core").agg(F.sum("weight").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
-    active = units.join(buckets, "core")
+    active = store(units.join(buckets, "core").drop("n"), "active")
     settled = active.where("low = high")
     mixed = active.where("low <> high")
     one = F.min(F.struct("id", "tag", "first", "last")).alias("one")
@@ -92,15 +92,15 @@ def _finer(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """id, tag, start, stop (bytes) of spans that together are all bytes covered by a repeated ``length``-byte string. ``documents`` as by
     ``keyed``."""
-    settled, open_ = refine(cut(runs(documents, length, gram, words=False).withColumn("weight", F.lit(1).cast("long"))))
-    parts = cut(pieces(documents, open_, length, words=False))
-    by_block, open_ = refine(cut(_finer(parts, length, gram, block)))
+    settled, open_ = refine(store(runs(documents, length, gram, words=False), "runs").withColumn("weight", F.lit(1).cast("long")))
+    parts = store(pieces(documents, open_, length, words=False), "parts")
+    by_block, open_ = refine(store(_finer(parts, length, gram, block), "blocks"))
     # a block left open is looked at window by window, inside its part
     inside = parts.select("id", "tag", F.col("first").alias("p_first"), F.col("last").alias("p_last"), "part")
     left = open_.join(inside, ["id", "tag"]).where("first >= p_first and last <= p_last").select(
         "id", "tag", "first", "last", "weight", F.expr(f"substring(part, first - p_first + 1, last - first + {length})").alias("part")
     )
-    by_window, _ = refine(_finer(left, length, gram, 1))
+    by_window, _ = refine(store(_finer(left, length, gram, 1), "windows"))
     every = settled.union(by_block).union(by_window)
     return every.select("id", "tag", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 
@@ -111,12 +111,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other columns take no part."""
     prepare(docs.sparkSession)
     documents = keyed(docs)
-    joined = with_spans(documents, repeated_spans(documents, length)).select("doc_id", "text", "spans")
+    joined = with_spans(documents, repeated_spans(documents, length)).select("doc_id", "__z", "__size", "spans")
 
     def run(batch: pa.RecordBatch):
         rows: list[list] = [[], [], [], []]
-        spans = batch.column(2).to_pylist()
-        for k, data in enumerate(as_bytes(batch.column(1))):
+        spans = batch.column("spans").to_pylist()
+        for k, data in enumerate(unsqueeze(batch)):
             digest, at, removed = hashlib.sha256(), 0, 0
             starts, stops = merged(*unpack(spans[k])) if spans[k] else ((), ())
             for a, b in zip(starts, stops, strict=True):
