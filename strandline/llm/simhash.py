@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, map_arrow, prepare
+from .common import as_bytes, cut, keyed, map_arrow, prepare, squeeze, unsqueeze
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -169,6 +169,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     names = docs.columns
     near = near_duplicates(docs, radius, shingle).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("tag").alias("__tag"))
     near = near.withColumnRenamed("doc_id", "__id")
-    mine = docs.withColumn("__own", F.hash("text"))
+    mine = squeeze(docs.withColumn("__own", F.hash("text")))
     found = mine.join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "inner")
-    return found.dropDuplicates(["doc_id"]).select(*[F.col(f"`{n}`") for n in names])
+    found = found.select(*[F.col(f"`{n}`") for n in names if n != "text"], "__z", "__size").dropDuplicates(["doc_id"])
+
+    def run(batch: pa.RecordBatch):
+        text = pa.array(unsqueeze(batch), pa.binary()).cast(pa.string())
+        yield pa.record_batch([text if n == "text" else batch.column(n) for n in names], names)
+
+    return map_arrow(found, run, docs.schema)
