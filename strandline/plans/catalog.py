@@ -1,4 +1,9 @@
 """Name -> Spark query, and name -> SQL for the same result."""
 
+from . import data_queries, retrieval_queries, trace_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (retrieval_queries, trace_queries, data_queries):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
