@@ -194,9 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality",
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(n).cast("int").alias(n) for n in names]).dropna()
     known = known.groupBy("doc_id").agg(*[(F.min(n) if n == "quality" else F.max(n)).alias(n) for n in names])
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    sample = cut(rows.join(some, "doc_id").select("text", *META_COLUMNS, "doc_id", *[(F.col(n) > 0).alias(n) for n in names]))
+    # both sides to be broadcast have a fixed number of rows of numbers; without that, all texts would be shuffled to find the sample
+    sample = cut(rows.join(F.broadcast(some), "doc_id").select("text", *META_COLUMNS, "doc_id", *[(F.col(n) > 0).alias(n) for n in names]))
     ids = rows.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
-    others = rows.join(ids, "doc_id").select("text", *META_COLUMNS)
+    others = rows.join(F.broadcast(ids), "doc_id").select("text", *META_COLUMNS)
     words: dict[bytes, int] = {}
     for n in names:
         for w in _telling_words(sample, n):
