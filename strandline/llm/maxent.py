@@ -144,7 +144,9 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def softmax_rows(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    logits = w[f[0]] + w[BUCKETS + f[1]] + w[2 * BUCKETS + f[2]] + bias
+    logits = np.take(w, f[0], axis=0) + bias
+    for j in (1, 2):
+        logits += np.take(w, j * BUCKETS + f[j], axis=0)
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
@@ -199,13 +201,11 @@ def train_round(train: DataFrame, model: Model, rate: float) -> None:
                     g[np.arange(len(y)), y] -= 1
                     bias -= rate * g.mean(axis=0)
                     for j in range(3):
-                        order = np.argsort(ff[j], kind="stable")
-                        where = ff[j][order]
-                        first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                        sums = np.add.reduceat(g[order], first, axis=0)
-                        size = np.diff(np.append(first, len(where)))[:, None].astype(np.float32)
+                        present, at, size = np.unique(ff[j], return_inverse=True, return_counts=True)
+                        cell = at[:, None] * CLASSES + np.arange(CLASSES)
+                        sums = np.bincount(cell.ravel(), weights=g.ravel(), minlength=len(present) * CLASSES).reshape(-1, CLASSES)
                         # the mean gradient of a feature, trusted the more the oftener the batch has it
-                        w[j * BUCKETS + where[first]] -= rate * sums / (size + 4)
+                        w[j * BUCKETS + present] -= (sums * (rate / (size + 4))[:, None]).astype(np.float32)
                     seen += len(y)
         if seen:
             change = np.vstack((w - m.weights, (bias - m.bias)[None, :])) * np.float32(seen)
