@@ -55,14 +55,17 @@ def give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``function`` over every Arrow batch; it yields batches."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """``function`` over every Arrow batch; it yields batches. ``done`` is called where a task ends."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
                 give_back()
+        if done is not None:
+            done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

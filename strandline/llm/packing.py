@@ -48,6 +48,12 @@ class WordBPE:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Lets go the words learnt: a worker that waits for its next task needn't hold them."""
+        for bpe in cls._loaded.values():
+            bpe.words = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -134,7 +140,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
 
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.monotonically_increasing_id().alias("copy"), "text")
-    return map_arrow(source, run, PIECES)
+    return map_arrow(source, run, PIECES, WordBPE.forget)
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
