@@ -94,9 +94,11 @@ def earlier_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     columns = ["id", "tag", "first", "last"]
     settled = active.where("low = high and id > least").select(*columns)
     mixed = active.where("low <> high")
-    heads = mixed.groupBy("core", "hull").agg(F.min(F.struct("id", "tag", "first", "last")).alias("one"))
-    repeats = mixed.join(heads, ["core", "hull"]).where("id > one.id").select(*columns)
-    open_ = heads.select("one.*", F.lit(1).cast("long").alias("weight"))
+    heads = mixed.groupBy("core", "hull").agg(F.min("id").alias("lowest"))
+    placed = mixed.join(heads, ["core", "hull"])
+    repeats = placed.where("id > lowest").select(*columns)
+    # every place of the run in its least document, not the first alone: what meets the index there counts for that place only
+    open_ = placed.where("id = lowest").select(*columns, F.lit(1).cast("long").alias("weight"))
     parts = pieces(documents, open_, window, words=True)
     windows = store(_windows(parts, window), "windows")
     edges = windows.select(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000).alias("e")).first()["e"] or []

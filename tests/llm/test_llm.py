@@ -176,6 +176,30 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def brute_removed(rows, window=50):
+    """Words removed of each of ``rows`` (doc_id, text), a null doc_id coming last."""
+    least: dict = {}
+    tokens = [(math.inf if d is None else d, t.split()) for d, t in rows]
+    for d, w in tokens:
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            least[x] = min(least.get(x, math.inf), d)
+    return [sum(gone(len(w), [k for k in range(len(w) - window + 1) if least[tuple(w[k : k + window])] < d], window)) for d, w in tokens]
+
+
+def test_substring_dedup_body_twice(spark):
+    rows = []
+    for k in range(6):
+        x, y, a, b, p = (words(n, 100 * k + j, 5000) for j, n in enumerate((60, 60, 70, 70, 90)))
+        rows += [(2 * k, f"{x} {p} {y}"), (2 * k + 1, " ".join([a, p, b] * 2))]
+    x, y, a, b, p = (words(n, 900 + j, 5000) for j, n in enumerate((60, 60, 70, 70, 90)))
+    rows += [(50, f"{x} {p} {y}"), (None, f"{a} {p} {b}"), (None, f"{a} {p} {b} other")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_removed(rows)
+    assert multiset((r.doc_id, r.n_words, r.n_removed) for r in got) == collections.Counter((d, len(t.split()), n) for (d, t), n in zip(rows, want, strict=True))
+    assert want[1] == 180
+
+
 def test_quality_rules(docs, none, rows):
     got = quality_rules.judge(docs)
     by = {r.doc_id: r for r in got.collect()}
