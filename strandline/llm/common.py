@@ -75,17 +75,22 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, tag: str | None = None) -> DataFrame:
     """(id, tag, text): id orders documents, a null doc_id coming last; id and tag tell apart different rows
     even where a doc_id is repeated. Identical rows share both, and any result."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("id"),
-        F.hash("text").alias("tag"),
+        (F.hash("text") if tag is None else F.col(tag)).alias("tag"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """As ``keyed``, with a tag of 64 bits, which tells apart rows where very many have no doc_id."""
+    return keyed(docs.select("doc_id", "text", F.xxhash64("text").alias("__mark")), "__mark")
+
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -119,3 +124,17 @@ def unsqueeze(batch: pa.RecordBatch) -> list[bytes | None]:
     """The texts of a batch of ``squeeze``, as UTF-8."""
     codec = pa.Codec("zstd")
     return [None if z is None else codec.decompress(z, n, asbytes=True) for z, n in zip(batch.column("__z").to_pylist(), batch.column("__size").to_pylist(), strict=True)]
+
+
+def pick(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` (id, tag of ``marked``) names; of identical ones, one."""
+    names = docs.columns
+    rows = squeeze(docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)), "__mark": F.xxhash64("text")}))
+    found = rows.join(chosen, (F.col("__own") == F.col("id")) & (F.col("__mark") == F.col("tag")), "left_semi").dropDuplicates(["__own", "__mark"])
+    found = found.select(*[F.col(f"`{n}`") for n in names if n != "text"], "__z", "__size")
+
+    def run(batch: pa.RecordBatch):
+        text = pa.array(unsqueeze(batch), pa.binary()).cast(pa.string())
+        yield pa.record_batch([text if n == "text" else batch.column(n) for n in names], names)
+
+    return map_arrow(found, run, docs.schema)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, components, maxent, packing, permutation_index, quality_classifier, quality_rules, reply_trees, simhash, substring_dedup, suffix_dedup
+from strandline.llm import bpe, components, maxent, near_copies, packing, permutation_index, quality_classifier, quality_rules, reply_trees, simhash, substring_dedup, suffix_dedup
 from strandline.llm.merging import MergeTable
 from strandline.llm.queries import vocabulary
 
@@ -119,6 +119,44 @@ def test_simhash(docs, none, rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_pipeline_near_duplicates(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = [None, "", " \n", "one two", "One  TWO", "one three"]
+    for n in (6, 12, 60, 300):
+        for _ in range(12):
+            base = [f"w{k}" for k in rng.integers(0, 3000, n)]
+            for changes in range(7):
+                some = list(base)
+                for at in rng.integers(0, n, changes * max(1, n // 150)):
+                    some[at] = f"v{rng.integers(3000)}"
+                texts.append(" ".join(some[: n - int(rng.integers(0, 1 + n // 20))]))
+    common = words(30, 77, 1000)
+    texts += [common + " " + words(int(rng.integers(2, 60)), 500 + k, 1000) for k in range(60)]
+    ids = [None if k % 11 == 3 else k for k in rng.permutation(len(texts)).tolist()]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [x if r == y else r for r in root]
+    groups = collections.defaultdict(list)
+    for r, d in zip(root, ids, strict=True):
+        groups[r].append(math.inf if d is None else d)
+    want = collections.Counter(None if min(g) == math.inf else min(g) for g in groups.values())
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    stage = lambda: collections.Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert stage() == want and len(want) < len(texts) - 50
+    monkeypatch.setattr(near_copies, "GROUP", 20)
+    assert stage() == want
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_links_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = np.random.default_rng(1)
