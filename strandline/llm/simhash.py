@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, map_arrow, prepare, squeeze, unsqueeze
+from .common import as_bytes, cut, keyed, map_arrow, marked, pick, prepare
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -43,14 +43,14 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """id, tag, doc_id and fp (the fingerprint as a signed long) of each row of ``keyed(docs)``."""
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE, tag: str = "int") -> DataFrame:
+    """id, tag, doc_id and fp (the fingerprint as a signed long) of each row of ``keyed`` or ``marked`` documents."""
 
     def run(batch: pa.RecordBatch):
         found = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(3))], np.uint64)
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(found.view(np.int64))], ["id", "tag", "doc_id", "fp"])
 
-    return map_arrow(keyed(docs), run, "id long, tag int, doc_id long, fp long")
+    return map_arrow(rows, run, f"id long, tag {tag}, doc_id long, fp long")
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -139,23 +139,28 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     return sorted_.mapInArrow(run, "x long, y long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id and tag of every row. component_id is the smallest doc_id that links
-    reach, itself included. Null texts and texts without words have fingerprint zero, which links like any other. Rows with a null doc_id
-    are linked too, and count as larger than any; a component of such rows alone has a null component_id. Repeated rows
-    each give their row, an empty table none."""
-    prepare(docs.sparkSession)
-    marked = cut(fingerprints(docs, shingle))
+def _owners(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, root (the least fingerprint that links reach) and component (the least id there) of each fingerprint of ``rows``."""
     # one node per fingerprint: its least document
-    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     found = links(nodes.select("fp"), nodes.count(), radius)
     # components run on fingerprints; the least document follows by an aggregate
     roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    owner = labelled.join(heads, "root").select("fp", "component")
+    return labelled.join(heads, "root").select("fp", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id and tag of every row. component_id is the smallest doc_id that links
+    reach, itself included. Null texts and texts without words have fingerprint zero, which links like any other. Rows with a null doc_id
+    are linked too, and count as larger than any; a component of such rows alone has a null component_id. Repeated rows
+    each give their row, an empty table none."""
+    prepare(docs.sparkSession)
+    rows = cut(fingerprints(keyed(docs), shingle))
+    owner = _owners(rows, radius).select("fp", "component")
     null = F.lit(None).cast("long")
-    return marked.join(owner, "fp").select(
+    return rows.join(owner, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component") == (1 << 63) - 1, null).otherwise(F.col("component")).alias("component_id"),
@@ -164,17 +169,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest doc_id (of repeated rows with that id, one). Texts without words
-    are one component. Columns as they are."""
-    names = docs.columns
-    near = near_duplicates(docs, radius, shingle).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("tag").alias("__tag"))
-    near = near.withColumnRenamed("doc_id", "__id")
-    mine = squeeze(docs.withColumn("__own", F.hash("text")))
-    found = mine.join(near, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "inner")
-    found = found.select(*[F.col(f"`{n}`") for n in names if n != "text"], "__z", "__size").dropDuplicates(["doc_id"])
-
-    def run(batch: pa.RecordBatch):
-        text = pa.array(unsqueeze(batch), pa.binary()).cast(pa.string())
-        yield pa.record_batch([text if n == "text" else batch.column(n) for n in names], names)
-
-    return map_arrow(found, run, docs.schema)
+    """The rows of ``docs`` that stand for their component: one each, of the smallest doc_id. A component of rows without a doc_id keeps one of them,
+    and rows that repeat a doc_id stand for as many components as they form. Texts without words are one component. Columns as they are."""
+    prepare(docs.sparkSession)
+    rows = cut(fingerprints(marked(docs), shingle, "long"))
+    chosen = rows.join(_owners(rows, radius), "fp").groupBy("root").agg(F.min(F.struct("id", "tag")).alias("one")).select("one.*")
+    return pick(docs, chosen)

@@ -119,6 +119,15 @@ def test_simhash(docs, none, rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    texts = [words(100, 40 + k, 1000) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (7, texts[4]), (None, texts[4]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])}
+    got = [tuple(r) for r in simhash.keep_one(df, shingle=5).collect()]
+    assert len(got) == 6 and set(got) - {(None, None), (None, "")} == want
+
+
 def test_pipeline_near_duplicates(spark, monkeypatch):
     import corpus_pipeline
 
