@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, map_arrow, prepare
-from .rolling import Prefix
-from .spans import BYTE_VALUES, chunks, word_edges
+from .rolling import word_values
+from .spans import chunks, word_edges
 
 FREQUENT_CLASSES, SURFACE_CLASSES = 32, 16
 CLASSES = FREQUENT_CLASSES + SURFACE_CLASSES
@@ -38,7 +38,7 @@ class Tokens:
         raw = np.frombuffer(data, np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[:-1]]))).astype(np.int64)
         start, stop = word_edges(raw)
-        words = Prefix(BYTE_VALUES[raw]).spans(start, stop)
+        words = word_values(data.split())
         text = np.searchsorted(starts, start, side="right") - 1
         last = raw[stop - 1] if len(stop) else np.zeros(0, np.uint8)
         size = np.digitize(stop - start, (5, 8, 11))

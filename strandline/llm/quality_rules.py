@@ -14,21 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, as_bytes, map_arrow, prepare
-from .rolling import Prefix, mix
+from .rolling import Levels, word_values
 
 #: The largest share of a text's characters that may stand in repeated n-grams of each length, and in repeated lines.
 NGRAM_SHARES = {5: 0.30, 7: 0.25, 10: 0.20}
 LINE_SHARE = 0.30
 BASE_WINDOW, BASE_SHARE, LEAST_WORDS = 5, 20, 10
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_share double, " + ", ".join(f"share_{n} double" for n in NGRAM_SHARES)
 
 
-def covered(words: np.ndarray, n: int) -> np.ndarray:
+def covered(words: Levels, n: int) -> np.ndarray:
     """Which words stand in an n-gram that occurs at least twice."""
-    grams = Prefix(words).all(n)
-    out = np.zeros(len(words) + 1, np.int64)
+    grams = words.all(n)
+    out = np.zeros(words.n + 1, np.int64)
     if len(grams) > 1:
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
@@ -51,7 +50,7 @@ def measure(data: bytes) -> tuple:
     points = np.concatenate(([0], np.cumsum(first_byte & inside)))
     sizes = points[stop] - points[start]
     n, chars = len(start), int(sizes.sum())
-    words = Prefix(_BYTE[raw]).spans(start, stop)
+    words = Levels(word_values(data.split()))
     seen: set[bytes] = set()
     dup_lines = dup_chars = 0
     for line in data.split(b"\n"):

@@ -1,63 +1,82 @@
-"""Rolling polynomial hashes and window minimisers over symbol sequences, in numpy.
+"""Hashes of spans of a symbol sequence, by doubling, and window minimisers, in numpy.
 
-A sequence is an array of 64-bit symbol values. ``Prefix`` keeps prefix sums
-``H[i] = sum(sym[j] * R**j for j < i)`` modulo 2**64, so that the hash of any
-span is a subtraction and a multiplication. Equal spans have equal hashes
-wherever they stand; two bases give two independent 64-bit values.
+A sequence is an array of 64-bit symbol values. ``Levels`` keeps the hash of every span of 1, 2, 4, ... symbols: that of a longer span is
+mixed from those of its two halves, and that of a span of any length from the two longest such spans that together cover it.
+No step is linear, so no family of texts collides by construction, as under polynomial hashes modulo 2**64. Equal spans have equal
+hashes wherever they stand; two salts give two independent 64-bit values.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for positions below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        out = []
-        for r in (base, pow(base, -1, 1 << 64)):
-            step = np.full(size, r & _MASK, np.uint64)
-            step[0] = 1
-            out.append(np.multiply.accumulate(step))
-        have = _powers[base] = (out[0], out[1])
-        if size > 1 << 20:  # a very long text: not kept
-            del _powers[base]
-    return have
+FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+WORD_SEED = 0x5EED
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of a 64-bit mixing function, so that all bits depend on all bits."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class Prefix:
-    def __init__(self, symbols: np.ndarray, which: int = 0):
-        n = len(symbols)
-        self.n = n
-        power, self.inverse = _tables(BASES[which], n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * power[:n], out=self.sums[1:])
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def word_values(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, by its bytes."""
+    digest = xxhash.xxh3_64_intdigest
+    known = {w: digest(w, WORD_SEED) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+class Levels:
+    """``raw`` is an array of 64-bit values, or of bytes, whose spans of up to 8 are kept as they are."""
+
+    def __init__(self, raw: np.ndarray, salt: int = 0):
+        self.n, self.factor = len(raw), FACTORS[salt]
+        self.exact = 8 if raw.dtype == np.uint8 else 1
+        self.levels = [raw.astype(np.uint64)]
+
+    def _join(self, left: np.ndarray, right: np.ndarray, length) -> np.ndarray:
+        out = left * self.factor
+        out += right
+        out ^= length
+        return mix(out)
+
+    def level(self, k: int) -> np.ndarray:
+        """The hash of every span of 2**k symbols."""
+        while len(self.levels) <= k:
+            have, size = self.levels[-1], 1 << (len(self.levels) - 1)
+            left, right = have[: max(0, len(have) - size)], have[size:]
+            if 2 * size <= self.exact:
+                self.levels.append(left | (right << np.uint64(8 * size)))
+            else:
+                self.levels.append(self._join(left, right, np.uint64(2 * size)))
+        return self.levels[k]
 
     def all(self, length: int) -> np.ndarray:
         """The hash of every span of this length."""
         count = self.n - length + 1
         if count <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:count]) * self.inverse[:count])
+        k = length.bit_length() - 1
+        have, size = self.level(k), 1 << k
+        return have[:count] if size == length else self._join(have[:count], have[length - size : length - size + count], np.uint64(length))
 
     def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The hash of each span [start, stop)."""
-        return mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
+        """The hash of each span [start, stop); none is empty."""
+        length = (stop - start).astype(np.int64)
+        out = np.zeros(len(length), np.uint64)
+        power = np.frexp(length)[1] - 1
+        for k in np.unique(power).tolist():
+            own = np.flatnonzero(power == k)
+            have, a = self.level(k), start[own]
+            found = self._join(have[a], have[stop[own] - (1 << k)], length[own].astype(np.uint64))
+            out[own] = np.where(length[own] == 1 << k, have[a], found)
+        return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, map_arrow, marked, pick, prepare
+from .common import as_bytes, cut, hot_keys, keyed, map_arrow, pick, prepare, salted
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -43,14 +43,14 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(rows: DataFrame, shingle: int = SHINGLE, tag: str = "int") -> DataFrame:
-    """id, tag, doc_id and fp (the fingerprint as a signed long) of each row of ``keyed`` or ``marked`` documents."""
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """id, tag, doc_id and fp (the fingerprint as a signed long) of each row of ``keyed`` documents."""
 
     def run(batch: pa.RecordBatch):
         found = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(3))], np.uint64)
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(found.view(np.int64))], ["id", "tag", "doc_id", "fp"])
 
-    return map_arrow(rows, run, f"id long, tag {tag}, doc_id long, fp long")
+    return map_arrow(rows, run, "id long, tag long, doc_id long, fp long")
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     rows = cut(fingerprints(keyed(docs), shingle))
     owner = _owners(rows, radius).select("fp", "component")
     null = F.lit(None).cast("long")
-    return rows.join(owner, "fp").select(
+    # very many rows may have one fingerprint: exact copies, texts without words
+    return salted(rows, owner, ["fp"], hot_keys(rows, ["fp"])).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component") == (1 << 63) - 1, null).otherwise(F.col("component")).alias("component_id"),
@@ -172,6 +173,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """The rows of ``docs`` that stand for their component: one each, of the smallest doc_id. A component of rows without a doc_id keeps one of them,
     and rows that repeat a doc_id stand for as many components as they form. Texts without words are one component. Columns as they are."""
     prepare(docs.sparkSession)
-    rows = cut(fingerprints(marked(docs), shingle, "long"))
-    chosen = rows.join(_owners(rows, radius), "fp").groupBy("root").agg(F.min(F.struct("id", "tag")).alias("one")).select("one.*")
+    rows = cut(fingerprints(keyed(docs), shingle))
+    first = rows.groupBy("fp").agg(F.min(F.struct("id", "tag")).alias("one")).select("fp", "one.*")
+    chosen = first.join(_owners(rows, radius), "fp").groupBy("root").agg(F.min(F.struct("id", "tag")).alias("one")).select("one.*")
     return pick(docs, chosen)

@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, as_bytes, map_arrow, squeeze, unsqueeze
-from .rolling import Prefix, anchors, mix
+from .common import WHITE, as_bytes, hot_keys, map_arrow, salted, squeeze, unsqueeze
+from .rolling import Levels, anchors, word_values
 
 #: Bytes hashed together: bounds the arrays of a worker, but for a longer single text.
-CHUNK = 1 << 20
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-RUNS = "id long, tag int, first int, last int, core long, hull long"
-_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+CHUNK = 1 << 18
+RUNS = "id long, tag long, first int, last int, core long, hull long"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
 def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,13 +30,11 @@ def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbols(data: bytes, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of UTF-8 bytes, and the place of each in the bytes."""
+    """The symbols of UTF-8 bytes (the bytes, or a hash of each word), and the place of each in the bytes."""
     raw = np.frombuffer(data, np.uint8)
-    values = BYTE_VALUES[raw]
     if not words:
-        return values, np.arange(len(raw))
-    start, stop = word_edges(raw)
-    return Prefix(values).spans(start, stop), start
+        return raw, np.arange(len(raw))
+    return word_values(data.split()), word_edges(raw)[0]
 
 
 def chunks(texts: list[bytes]):
@@ -66,8 +63,8 @@ def runs(keyed_docs: DataFrame, window: int, gram: int, words: bool) -> DataFram
             ends = np.append(first_symbol[1:], len(values))
             if not words:
                 ends[:-1] -= 1  # the line feed between two texts belongs to none
-            prefix = Prefix(values)
-            grams = prefix.all(gram)
+            levels = Levels(values)
+            grams = levels.all(gram)
             owner, first, last = anchors(grams, window - gram + 1)
             if not len(owner):
                 continue
@@ -77,7 +74,7 @@ def runs(keyed_docs: DataFrame, window: int, gram: int, words: bool) -> DataFram
             last = np.minimum(last, ends[doc] - window)
             good = (last >= first) & (owner + gram <= ends[doc])
             owner, first, last, doc = owner[good], first[good], last[good], doc[good]
-            hull = prefix.spans(first, last + window)
+            hull = levels.spans(first, last + window)
             base = first_symbol[doc]
             columns = (ids[a:b][doc], tags[a:b][doc], first - base, last - base, grams[owner].view(np.int64), hull.view(np.int64))
             for k in range(0, len(doc), 20_000):
@@ -89,7 +86,8 @@ def runs(keyed_docs: DataFrame, window: int, gram: int, words: bool) -> DataFram
 def pieces(keyed_docs: DataFrame, open_runs: DataFrame, window: int, words: bool) -> DataFrame:
     """The bytes that each open run covers: id, tag, first, last and the columns of ``extra``. ``open_runs`` has id, tag, first, last, weight."""
     wanted = open_runs.groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last", "weight")).alias("wanted"))
-    joined = squeeze(keyed_docs.select("id", "tag", "text")).join(wanted, ["id", "tag"])
+    # rows that have the same id and tag are the same text: one of them a batch is enough
+    joined = squeeze(keyed_docs.select("id", "tag", "text"), once=("id", "tag")).join(wanted, ["id", "tag"])
 
     def run(batch: pa.RecordBatch):
         rows: list[list] = [[], [], [], [], [], []]
@@ -103,10 +101,10 @@ def pieces(keyed_docs: DataFrame, open_runs: DataFrame, window: int, words: bool
                 for column, x in zip(rows, (ids[k], tags[k], w["first"], w["last"], w["weight"], part), strict=True):
                     column.append(x)
         if rows[0]:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["id", "tag", "first", "last", "weight", "part"])
 
-    return map_arrow(joined, run, "id long, tag int, first int, last int, weight long, part binary")
+    return map_arrow(joined, run, "id long, tag long, first int, last int, weight long, part binary")
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +116,10 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of ``keyed_docs``, their text squeezed, with spans (array of start * 2**32 + stop, or null)."""
+    """The rows of ``keyed_docs`` or ``boxed`` ones, their text squeezed, with spans (array of start * 2**32 + stop, or null)."""
     packed = spans.select("id", "tag", (F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")).alias("span"))
     packed = packed.groupBy("id", "tag").agg(F.collect_set("span").alias("spans"))
-    return squeeze(keyed_docs).join(packed, ["id", "tag"], "left")
+    return salted(squeeze(keyed_docs), packed, ["id", "tag"], hot_keys(keyed_docs.select("id", "tag"), ["id", "tag"]), "left")
 
 
 def unpack(values: list | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,15 +1,16 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
-Suffixes fall into buckets by the q-gram they begin with, q-grams being taken at the anchors of
-``spans``; buckets of one are done. The others are refined by the bucket identifiers of later offsets: the
-identifier of a longer prefix at i is made of that of its first half at i and of that of its second half at a later offset, down to
-prefixes of the full length, and what one round leaves open is all that the next one sees:
+A suffix is a place in a text. Suffixes that begin alike form a bucket, and each holds the pointer of its bucket: the least address of
+its members. First come buckets of equal q-grams; then, round by round, the members of a bucket are sorted by the
+pointers of the suffixes ``h`` bytes on, and so split into buckets that agree in ``2 h`` bytes, up to the full length. A suffix that is alone is
+done, and leaves the table: in the next round the suffixes before it find no pointer there, and are done as well, without being sorted. So
+each round reuses what the former ones have settled.
 
-1. runs of windows with one anchor, by the anchor's q-gram, then by all bytes they cover;
-2. blocks of at most ``BLOCK`` windows inside the runs left open;
-3. single windows, whose identifier is built by doubling from q-gram identifiers.
+Two filters come before, so that only suffixes that may repeat are refined:
 
-Identifiers are hashes of what they stand for, so buckets never have to be numbered in one place.
+1. runs of windows with one anchor, in buckets by the anchor's q-gram (``core``), and inside them by all bytes they cover (``hull``): a core met once
+   rules its windows out, a core with one hull settles them;
+2. the same for blocks of at most ``BLOCK`` windows inside the runs left open.
 """
 
 from __future__ import annotations
@@ -18,45 +19,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keyed, map_arrow, prepare, store, unsqueeze
-from .rolling import Prefix, anchors, mix
-from .spans import BYTE_VALUES, merged, pieces, runs, unpack, with_spans
+from .common import as_bytes, attach, keyed, map_arrow, prepare, store, unsqueeze
+from .rolling import Levels, anchors, mix
+from .spans import merged, pieces, runs, unpack, with_spans
 
 LENGTH, GRAM, BLOCK = 400, 145, 16
-UNITS = "id long, tag int, first int, last int, core long, hull long, weight long"
-
-
-def identifiers(data: np.ndarray, length: int, q: int = 25) -> np.ndarray:
-    """Bucket identifiers of all ``length``-byte prefixes: q-gram identifiers, doubled by those at later offsets, the last time
-    with an overlap."""
-    ids, have = Prefix(BYTE_VALUES[data], 1).all(q), q
-    while have < length:
-        step = min(have, length - have)
-        ids = mix(ids[:-step] * np.uint64(0x9E3779B97F4A7C15) + ids[step:] + np.uint64(step))
-        have += step
-    return ids
+UNITS = "id long, tag long, first int, last int, core long, hull long, weight long"
 
 
 def refine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settled, open): units whose windows all occur elsewhere, and one unit per core and hull for which that is open.
     ``units`` has the columns of UNITS; weight counts the places a unit stands for."""
-    buckets = units.groupBy("core").agg(F.sum("weight").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
-    active = store(units.join(buckets, "core").drop("n"), "active")
+    buckets = units.groupBy("core").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("size"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
+    active = store(attach(units, buckets, ["core"], "size").drop("n", "size"), "active")
     settled = active.where("low = high")
     mixed = active.where("low <> high")
     one = F.min(F.struct("id", "tag", "first", "last")).alias("one")
-    by_hull = mixed.groupBy("core", "hull").agg(F.sum("weight").alias("all"), one)
-    twice = mixed.join(by_hull.where("all > 1").select("core", "hull"), ["core", "hull"])
+    by_hull = mixed.groupBy("core", "hull").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("size"), one)
+    twice = attach(mixed, by_hull.where("all > 1").select("core", "hull", "size"), ["core", "hull"], "size")
     columns = ["id", "tag", "first", "last"]
     open_ = by_hull.select("one.*", F.col("all").alias("weight"))
     return settled.select(*columns).union(twice.select(*columns)), open_
 
 
-def _finer(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
-    """The units inside each part: blocks of windows by their place before the anchor, or single windows (block 1)."""
+def _blocks(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """The units inside each part: blocks of windows by their place before the anchor."""
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[], [], [], [], [], [], []]
@@ -64,24 +55,20 @@ def _finer(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
         for k, data in enumerate(as_bytes(batch.column(5))):
             raw = np.frombuffer(data, np.uint8)
             n = lasts[k] - firsts[k] + 1
-            if block == 1:
-                low = high = np.arange(n)
-                core = hull = identifiers(raw, length)
-            else:
-                prefix = Prefix(BYTE_VALUES[raw])
-                anchor = int(anchors(prefix.all(gram), length - gram + 1)[0][0])
-                place = (anchor - np.arange(n)) // block
-                low = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-                high = np.append(low[1:], n) - 1
-                # what every window of a whole block shares, whether or not this part has them all
-                begin = anchor - place[low] * block
-                core = mix(prefix.spans(begin, begin - block + 1 + length) + place[low].astype(np.uint64))
-                hull = Prefix(BYTE_VALUES[raw], 1).spans(low, high + length)
+            levels = Levels(raw)
+            anchor = int(anchors(levels.all(gram), length - gram + 1)[0][0])
+            place = (anchor - np.arange(n)) // block
+            low = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            high = np.append(low[1:], n) - 1
+            # what every window of a whole block shares, whether or not this part has them all
+            begin = anchor - place[low] * block
+            core = mix(levels.spans(begin, begin - block + 1 + length) + place[low].astype(np.uint64))
+            hull = Levels(raw, 1).spans(low, high + length)
             size = len(low)
             for column, x in zip(out, ([ids[k]] * size, [tags[k]] * size, (low + firsts[k]), (high + firsts[k]), core.view(np.int64), hull.view(np.int64), [weights[k]] * size), strict=True):
                 column.append(x)
         if out[0]:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             flat = [np.concatenate(c) for c in out]
             for k in range(0, len(flat[0]), 50_000):
                 yield pa.record_batch([pa.array(c[k : k + 50_000]).cast(t) for c, t in zip(flat, kinds, strict=True)], [f.split()[0] for f in UNITS.split(", ")])
@@ -89,19 +76,96 @@ def _finer(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     return map_arrow(parts, run, UNITS)
 
 
+def steps(length: int, rounds: int = 2) -> tuple[int, list[int]]:
+    """q, and for each round the offset of the later suffix: prefixes grow from q to ``length``, the last step overlapping where it must."""
+    q = -(-length // (1 << rounds))
+    out, have = [], q
+    while have < length:
+        out.append(min(have, length - have))
+        have += out[-1]
+    return q, out
+
+
+def offsets(later: list[int]) -> list[int]:
+    """How far behind a window a suffix may stand that these steps ask for."""
+    out = {0}
+    for step in later:
+        out |= {o + step for o in out}
+    return sorted(out)
+
+
+def addressed(parts: DataFrame) -> DataFrame:
+    """``parts`` with the address of their first byte: every byte of every part has one of its own. Written, so that it stays."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            size = np.array([len(x) + 1 for x in batch.column("part").to_pylist()], np.int64)
+            base = at + np.cumsum(size) - size
+            at += int(size.sum())
+            yield pa.record_batch([*batch.columns, pa.array(base, pa.int64())], [*batch.schema.names, "base"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    return store(parts.mapInArrow(run, f"{schema}, base long"), "addressed")
+
+
+def suffixes(parts: DataFrame, length: int) -> DataFrame:
+    """(at, ahead, gram): the address and the q-gram of every suffix that refinement asks for; bit j of ahead says that it stands the j-th of
+    ``offsets`` behind a window of its part."""
+    q, later = steps(length)
+    behind = offsets(later)
+
+    def run(batch: pa.RecordBatch):
+        for first, last, data, base in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "part", "base")), strict=True):
+            grams = Levels(np.frombuffer(data, np.uint8)).all(q).view(np.int64)
+            ahead = np.zeros(len(grams), np.int32)
+            for j, o in enumerate(behind):
+                ahead[o : o + last - first + 1] |= 1 << j
+            asked = np.flatnonzero(ahead)
+            for k in range(0, len(asked), 50_000):
+                at = asked[k : k + 50_000]
+                yield pa.record_batch([pa.array(base + at, pa.int64()), pa.array(ahead[at]), pa.array(grams[at])], ["at", "ahead", "gram"])
+
+    return map_arrow(parts, run, "at long, ahead int, gram long")
+
+
+def repeated(parts: DataFrame, length: int) -> DataFrame:
+    """(at): the addresses of the windows of ``parts`` that occur twice at least among them."""
+    _, later = steps(length)
+    behind = offsets(later)
+
+    def buckets(table: DataFrame, keys: list[str]) -> DataFrame:
+        """Members with the pointer of their bucket; those that are alone are left out."""
+        found = table.groupBy(*keys).agg(F.min("at").alias("pointer"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        return store(attach(table, found, keys, "size").select("at", "ahead", F.col("pointer")), "pointers")
+
+    def standing(places: set[int]):
+        return F.col("ahead").bitwiseAND(F.lit(sum(1 << j for j, o in enumerate(behind) if o in places))) != 0
+
+    level = buckets(store(suffixes(parts, length), "suffixes"), ["gram"])
+    for k, step in enumerate(later):
+        wanted = set(offsets(later[k + 1 :]))
+        own = level.where(standing(wanted)).withColumnRenamed("pointer", "own")
+        beyond = level.where(standing({o + step for o in wanted})).select((F.col("at") - step).alias("at"), F.col("pointer").alias("next"))
+        level = buckets(store(own.join(beyond, "at"), "pairs"), ["own", "next"])
+    return level.select("at")
+
+
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """id, tag, start, stop (bytes) of spans that together are all bytes covered by a repeated ``length``-byte string. ``documents`` as by
     ``keyed``."""
     settled, open_ = refine(store(runs(documents, length, gram, words=False), "runs").withColumn("weight", F.lit(1).cast("long")))
     parts = store(pieces(documents, open_, length, words=False), "parts")
-    by_block, open_ = refine(store(_finer(parts, length, gram, block), "blocks"))
+    by_block, open_ = refine(store(_blocks(parts, length, gram, block), "blocks"))
     # a block left open is looked at window by window, inside its part
     inside = parts.select("id", "tag", F.col("first").alias("p_first"), F.col("last").alias("p_last"), "part")
-    left = open_.join(inside, ["id", "tag"]).where("first >= p_first and last <= p_last").select(
-        "id", "tag", "first", "last", "weight", F.expr(f"substring(part, first - p_first + 1, last - first + {length})").alias("part")
-    )
-    by_window, _ = refine(store(_finer(left, length, gram, 1), "windows"))
-    every = settled.union(by_block).union(by_window)
+    left = addressed(open_.join(inside, ["id", "tag"]).where("first >= p_first and last <= p_last").select(
+        "id", "tag", "first", "last", F.expr(f"substring(part, first - p_first + 1, last - first + {length})").alias("part")
+    ))
+    each = left.select("id", "tag", "base", F.explode(F.sequence("first", "last")).alias("start"), "first")
+    windows = each.select("id", "tag", "start", (F.col("base") + F.col("start") - F.col("first")).alias("at"))
+    single = windows.join(repeated(left, length), "at", "left_semi").select("id", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
+    every = settled.union(by_block).union(single)
     return every.select("id", "tag", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 
 
@@ -111,7 +175,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other columns take no part."""
     prepare(docs.sparkSession)
     documents = keyed(docs)
-    joined = with_spans(documents, repeated_spans(documents, length)).select("doc_id", "__z", "__size", "spans")
+    joined = with_spans(documents, repeated_spans(documents, length)).select("doc_id", "z", "size", "spans")
 
     def run(batch: pa.RecordBatch):
         rows: list[list] = [[], [], [], []]
