@@ -12,6 +12,7 @@ import numpy as np
 import xxhash
 
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+LENGTH_FACTOR = np.uint64(0x165667B19E3779F9)
 WORD_SEED = 0x5EED
 
 
@@ -40,11 +41,14 @@ class Levels:
         self.exact = 8 if raw.dtype == np.uint8 else 1
         self.levels = [raw.astype(np.uint64)]
 
-    def _join(self, left: np.ndarray, right: np.ndarray, length) -> np.ndarray:
+    def _join(self, left: np.ndarray, right: np.ndarray, length=None) -> np.ndarray:
         out = left * self.factor
         out += right
-        out ^= length
-        return mix(out)
+        if length is not None:
+            out += length * LENGTH_FACTOR
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+        return out
 
     def level(self, k: int) -> np.ndarray:
         """The hash of every span of 2**k symbols."""
@@ -54,7 +58,7 @@ class Levels:
             if 2 * size <= self.exact:
                 self.levels.append(left | (right << np.uint64(8 * size)))
             else:
-                self.levels.append(self._join(left, right, np.uint64(2 * size)))
+                self.levels.append(self._join(left, right))
         return self.levels[k]
 
     def all(self, length: int) -> np.ndarray:
@@ -64,7 +68,7 @@ class Levels:
             return np.zeros(0, np.uint64)
         k = length.bit_length() - 1
         have, size = self.level(k), 1 << k
-        return have[:count] if size == length else self._join(have[:count], have[length - size : length - size + count], np.uint64(length))
+        return have[:count] if size == length else self._join(have[:count], have[length - size : length - size + count], np.array([length], np.uint64))
 
     def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The hash of each span [start, stop); none is empty."""

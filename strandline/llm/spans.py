@@ -37,12 +37,12 @@ def symbols(data: bytes, words: bool) -> tuple[np.ndarray, np.ndarray]:
     return word_values(data.split()), word_edges(raw)[0]
 
 
-def chunks(texts: list[bytes]):
+def chunks(texts: list[bytes], most: int | None = None):
     """Index ranges of texts that are hashed together."""
-    at = 0
+    at, most = 0, most or CHUNK
     while at < len(texts):
         end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= CHUNK:
+        while end < len(texts) and size + len(texts[end]) <= most:
             size += len(texts[end])
             end += 1
         yield at, end
@@ -125,3 +125,10 @@ def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
 def unpack(values: list | None) -> tuple[np.ndarray, np.ndarray]:
     found = np.array(values or [], np.int64)
     return found >> 32, found & 0xFFFFFFFF
+
+
+def inside(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts of members of groups: the group of each member, and its place there."""
+    counts = np.asarray(counts, np.int64)
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)

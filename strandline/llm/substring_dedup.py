@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, attach, boxed, delete, keyed, map_arrow, prepare, shared_path, shuffles_let_go, store, unboxed, unsqueeze
-from .rolling import Levels
-from .spans import merged, pieces, runs, symbols, unpack, with_spans
+from .rolling import Levels, word_values
+from .spans import chunks, inside, merged, pieces, runs, unpack, with_spans
 
 WINDOW, GRAM = 50, 25
 #: The least number of batches of a whole corpus, and how many windows one has at most, about; runs of a tier that are compacted; rows of a bucket.
@@ -116,30 +116,28 @@ class FingerprintIndex:
             tier += 1
 
 
-def _hashed(columns: list[list], values: np.ndarray, id_: int, tag: int, first: int, window: int) -> None:
-    fp, check = Levels(values, 0).all(window), Levels(values, 1).all(window)
-    n = len(fp)
-    for column, x in zip(columns, (np.full(n, id_), np.full(n, tag), np.arange(n) + first, fp.view(np.int64), check.view(np.int64)), strict=True):
-        column.append(x)
-
-
-def _rows(columns: list[list]):
-    if columns[0]:
+def _hashed(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, firsts: np.ndarray, window: int):
+    """Batches of WINDOWS: the windows of some texts, whose first word is the ``firsts``-th of its document."""
+    for a, b in chunks(texts):
+        words = [t.split() for t in texts[a:b]]
+        values = word_values([w for own in words for w in own])
+        sizes = np.fromiter(map(len, words), np.int64, b - a)
+        start = np.cumsum(sizes) - sizes
+        text, place = inside(np.maximum(sizes - window + 1, 0))
+        at = start[text] + place
+        fp, check = Levels(values, 0).all(window)[at], Levels(values, 1).all(window)[at]
+        columns = (ids[a:b][text], tags[a:b][text], place + firsts[a:b][text], fp.view(np.int64), check.view(np.int64))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        flat = [np.concatenate(c) for c in columns]
-        for k in range(0, len(flat[0]), 50_000):
-            yield pa.record_batch([pa.array(c[k : k + 50_000]).cast(t) for c, t in zip(flat, kinds, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
+        for k in range(0, len(text), 50_000):
+            yield pa.record_batch([pa.array(c[k : k + 50_000]).cast(t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in WINDOWS.split(", ")])
 
 
 def _windows(parts: DataFrame, window: int) -> DataFrame:
     """The windows of each part, with two fingerprints."""
 
     def run(batch: pa.RecordBatch):
-        columns: list[list] = [[], [], [], [], []]
-        ids, tags, firsts = (batch.column(k).to_pylist() for k in range(3))
-        for k, data in enumerate(as_bytes(batch.column(5))):
-            _hashed(columns, symbols(data, words=True)[0], ids[k], tags[k], firsts[k], window)
-        yield from _rows(columns)
+        ids, tags, firsts = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        yield from _hashed(as_bytes(batch.column(5)), ids, tags, firsts, window)
 
     return map_arrow(parts, run, WINDOWS)
 
@@ -148,11 +146,8 @@ def all_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every window of ``documents`` (as by ``keyed``), with two fingerprints."""
 
     def run(batch: pa.RecordBatch):
-        ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k, data in enumerate(as_bytes(batch.column(3))):
-            columns: list[list] = [[], [], [], [], []]
-            _hashed(columns, symbols(data, words=True)[0], ids[k], tags[k], 0, window)
-            yield from _rows(columns)
+        ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        yield from _hashed(as_bytes(batch.column(3)), ids, tags, np.zeros(len(ids), np.int64), window)
 
     return map_arrow(documents, run, WINDOWS)
 

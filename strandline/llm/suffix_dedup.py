@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, attach, keyed, map_arrow, prepare, store, unsqueeze
-from .rolling import Levels, anchors, mix
-from .spans import merged, pieces, runs, unpack, with_spans
+from .rolling import Levels, mix
+from .spans import chunks, inside, merged, pieces, runs, unpack, with_spans
 
 LENGTH, GRAM, BLOCK = 400, 145, 16
 UNITS = "id long, tag long, first int, last int, core long, hull long, weight long"
@@ -50,28 +50,30 @@ def _blocks(parts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """The units inside each part: blocks of windows by their place before the anchor."""
 
     def run(batch: pa.RecordBatch):
-        out: list[list] = [[], [], [], [], [], [], []]
-        ids, tags, firsts, lasts, weights = (batch.column(k).to_pylist() for k in range(5))
-        for k, data in enumerate(as_bytes(batch.column(5))):
-            raw = np.frombuffer(data, np.uint8)
-            n = lasts[k] - firsts[k] + 1
+        ids, tags, firsts, lasts, weights = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+        texts = as_bytes(batch.column(5))
+        for a, b in chunks(texts):
+            raw = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+            sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+            start = np.cumsum(sizes) - sizes
             levels = Levels(raw)
-            anchor = int(anchors(levels.all(gram), length - gram + 1)[0][0])
-            place = (anchor - np.arange(n)) // block
-            low = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            high = np.append(low[1:], n) - 1
+            # all windows of a part have its anchor: the leftmost least gram of its first window
+            grams = levels.all(gram)
+            key = np.append((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
+            edges = np.stack((start, start + length - gram + 1), axis=1).ravel()
+            anchor = (np.minimum.reduceat(key, edges)[::2] & np.uint64(0xFFFFFFFF)).astype(np.int64) - start
+            part, window = inside(lasts[a:b] - firsts[a:b] + 1)
+            place = (anchor[part] - window) // block
+            low = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (part[1:] != part[:-1]))))
+            high = window[np.append(low[1:], len(part)) - 1]
+            part, place, low = part[low], place[low], window[low]
             # what every window of a whole block shares, whether or not this part has them all
-            begin = anchor - place[low] * block
-            core = mix(levels.spans(begin, begin - block + 1 + length) + place[low].astype(np.uint64))
-            hull = Levels(raw, 1).spans(low, high + length)
-            size = len(low)
-            for column, x in zip(out, ([ids[k]] * size, [tags[k]] * size, (low + firsts[k]), (high + firsts[k]), core.view(np.int64), hull.view(np.int64), [weights[k]] * size), strict=True):
-                column.append(x)
-        if out[0]:
+            begin = anchor[part] - place * block + start[part]
+            core = mix(levels.spans(begin, begin - block + 1 + length) + place.astype(np.uint64))
+            hull = Levels(raw, 1).spans(low + start[part], high + start[part] + length)
+            columns = (ids[a:b][part], tags[a:b][part], low + firsts[a:b][part], high + firsts[a:b][part], core.view(np.int64), hull.view(np.int64), weights[a:b][part])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            flat = [np.concatenate(c) for c in out]
-            for k in range(0, len(flat[0]), 50_000):
-                yield pa.record_batch([pa.array(c[k : k + 50_000]).cast(t) for c, t in zip(flat, kinds, strict=True)], [f.split()[0] for f in UNITS.split(", ")])
+            yield pa.record_batch([pa.array(c).cast(t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in UNITS.split(", ")])
 
     return map_arrow(parts, run, UNITS)
 
@@ -116,15 +118,19 @@ def suffixes(parts: DataFrame, length: int) -> DataFrame:
     behind = offsets(later)
 
     def run(batch: pa.RecordBatch):
-        for first, last, data, base in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "part", "base")), strict=True):
-            grams = Levels(np.frombuffer(data, np.uint8)).all(q).view(np.int64)
+        first, last, base = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last", "base"))
+        texts = as_bytes(batch.column("part"))
+        for a, b in chunks(texts):
+            sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+            start = np.cumsum(sizes) - sizes
+            grams = Levels(np.frombuffer(b"".join(texts[a:b]), np.uint8)).all(q).view(np.int64)
+            part, window = inside(last[a:b] - first[a:b] + 1)
             ahead = np.zeros(len(grams), np.int32)
             for j, o in enumerate(behind):
-                ahead[o : o + last - first + 1] |= 1 << j
+                ahead[start[part] + window + o] |= 1 << j
             asked = np.flatnonzero(ahead)
-            for k in range(0, len(asked), 50_000):
-                at = asked[k : k + 50_000]
-                yield pa.record_batch([pa.array(base + at, pa.int64()), pa.array(ahead[at]), pa.array(grams[at])], ["at", "ahead", "gram"])
+            own = np.searchsorted(start, asked, side="right") - 1
+            yield pa.record_batch([pa.array(base[a:b][own] + asked - start[own], pa.int64()), pa.array(ahead[asked]), pa.array(grams[asked])], ["at", "ahead", "gram"])
 
     return map_arrow(parts, run, "at long, ahead int, gram long")
 
