@@ -305,11 +305,40 @@ def test_permutation_index(spark):
         hits += len({r.vec_id for r in found} & set(best.tolist()))
         assert all(abs(r.score - s[r.vec_id]) < 1e-12 for r in found) and [r.rank for r in found] == list(range(1, 21))
     assert hits / (20 * len(got)) >= 0.9
+    twice = df.where("vec_id < 3").union(df.where("vec_id = 1")).withColumn("id", F.lit("x")).withColumn("files", F.lit(1))
+    assert sorted(r.vec_id for r in permutation_index.search(twice, twice.where("vec_id = 0")).collect()) == [1, 1, 2]
+    with pytest.raises(ValueError):
+        permutation_index.search(df.select("vec_id", F.slice("embedding", 1, F.when(F.col("vec_id") == 7, 3).otherwise(24)).alias("embedding")), df)
     few = df.where("vec_id < 5 or vec_id > 1999")
     assert permutation_index.search(few, few.where("vec_id = 0")).count() == 4
     assert permutation_index.search(few.limit(0), few).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_permutation_index_recall(spread):
+    """Full shards of isotropic vectors, the hardest kind, of one length and of varied ones; each query reads an eighth of the files."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(24_576, 64))
+    x *= (rng.lognormal(0, spread, size=len(x)) / np.linalg.norm(x, axis=1))[:, None]
+    longest = np.linalg.norm(x, axis=1).max()
+    pivots = permutation_index.level(x[rng.choice(len(x), permutation_index.PIVOTS, replace=False)], longest)
+    found, asked = collections.defaultdict(list), range(0, len(x), 400)
+    for a in range(0, len(x), permutation_index.SHARD):
+        shard = x[a : a + permutation_index.SHARD]
+        files = permutation_index.post(permutation_index.nearest(permutation_index.level(shard, longest), pivots, permutation_index.PREFIX), len(pivots))
+        take = int(np.ceil(permutation_index.SHARE * len(shard))) + permutation_index.MORE * 20
+        for q in asked:
+            order = permutation_index.nearest(np.append(x[q], 0.0)[None, :], pivots, permutation_index.PREFIX)[0]
+            found[q] += (a + np.argsort(-permutation_index.closeness(order, files, len(shard)), kind="stable")[:take]).tolist()
+    hits = 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -math.inf
+        hits += len(set(found[q]) & set(np.argsort(-s)[:20].tolist()))
+        assert len(found[q]) <= 0.15 * len(x)
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_reply_trees(spark):
     text = "\\### Assistant: </turn> ok \\0 \\1 \\2 <#\n"
     nodes = [(1, "a", None, "user", text, 0), (1, "b", "a", "assistant", text, 5), (1, "c", "a", "assistant", "é漢", 9), (1, "d", "c", "us:er#", None, None), (None, "x", None, None, "", 1)]
