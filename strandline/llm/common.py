@@ -189,15 +189,32 @@ def unsqueeze(batch: pa.RecordBatch) -> list[bytes | None]:
     return [None if z is None else codec.decompress(z, n, asbytes=True) for z, n in zip(batch.column("z").to_pylist(), batch.column("size").to_pylist(), strict=True)]
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def boxed(docs: DataFrame, tag) -> DataFrame:
     """(id, tag, row, text): the columns of ``docs`` but text in one, so that no name of theirs can clash with others."""
-    others = [F.col(f"`{n}`") for n in docs.columns if n != "text"]
+    others = [F.col(quoted(n)) for n in docs.columns if n != "text"]
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("id"), tag.alias("tag"), F.struct(*others).alias("row"), "text")
 
 
 def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` from the columns row and text."""
-    return rows.select(*[F.col("text") if n == "text" else F.col(f"row.`{n}`").alias(n) for n in docs.columns])
+    return rows.select(*[F.col("text") if n == "text" else F.col(f"row.{quoted(n)}").alias(n) for n in docs.columns])
+
+
+def keep_rows(docs: DataFrame, columns: list[str], good: Callable[..., np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` for which ``good`` is true; it gets these columns of a batch, null throughout where ``docs`` lacks one. All columns as they are."""
+    rows = docs.select(F.struct(*[F.col(quoted(n)) for n in docs.columns]).alias("row"))
+
+    def run(batch: pa.RecordBatch):
+        own = batch.column(0)
+        given = [own.field(c) if c in docs_columns else pa.nulls(batch.num_rows, pa.string()) for c in columns]
+        yield batch.filter(pa.array(good(*given), pa.bool_()))
+
+    docs_columns = docs.columns
+    return map_arrow(rows, run, rows.schema).select("row.*")
 
 
 def pick(docs: DataFrame, chosen: DataFrame) -> DataFrame:

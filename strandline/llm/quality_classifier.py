@@ -1,11 +1,12 @@
 """Quality by co-training: a view of the text and a view of the page's metadata teach each other.
 
-Two logistic models start from the labelled rows. In each round, each model labels the unlabelled rows of which it is
-surest, positive and negative, and the other model learns from them too. At the end each view is calibrated on labelled rows
+Two logistic models start from the labelled rows. In each round, each model labels the rows without label of which it is
+surest, positive and negative, out of the whole table, and the other model learns from them too. At the end each view is calibrated on labelled rows
 kept aside for that, and all documents are scored by the two calibrated views together, weighted by how well each ranks those rows.
 
-Fitting uses a bounded sample, ``LABELLED`` labelled and ``UNLABELLED`` other rows with the least hash of their id; scoring covers all rows, in Arrow
-batches. Each label column gets a classifier of its own: ``quality`` (wanted) and ``toxic`` (not wanted).
+Labelled rows are a bounded sample, the ``LABELLED`` ones with the least hash of their id; every other row may be picked. Features of all rows are computed
+once, in Arrow batches, and written; a round reads them, every task keeps its ``PER_ROUND`` surest texts by model and label, and these are
+merged over two levels. Each label column gets a classifier of its own: ``quality`` (wanted) and ``toxic`` (not wanted).
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_arrow, prepare
+from .common import as_bytes, cut, give_back, keep_rows, map_arrow, prepare, store
 
-LABELLED, UNLABELLED = 12_000, 6_000
+LABELLED = 12_000
 #: Words that tell the labels apart in the labelled sample, so many a label; a word counts from so many rows on.
 WORDS, LEAST_ROWS = 256, 5
 ROUNDS, PER_ROUND, SURE = 3, 300, 0.97
@@ -45,22 +46,29 @@ def text_stats(data: bytes) -> np.ndarray:
     return np.concatenate((np.sqrt(shares), (np.log1p(len(words)) / 10, len(raw) / n / max(1, len(words)) * min(n, 1000) / 10, distinct, repeated, np.log1p(len(lines)) / 10)))
 
 
-def text_view(texts: list[bytes], words: dict[bytes, int]) -> np.ndarray:
-    out = np.zeros((len(texts), STATS + len(words)), np.float32)
-    for k, data in enumerate(texts):
-        out[k, :STATS] = text_stats(data)
-        for w in set(data.lower().split()).intersection(words):
-            out[k, STATS + words[w]] = 1
+def text_parts(texts: list[bytes], words: dict[bytes, int]) -> tuple[list[bytes], list[bytes]]:
+    """The features of some texts in short: their dense ones (32-bit floats), and the numbers of the telling words they have (16-bit integers)."""
+    stats = [text_stats(data).astype("<f4").tobytes() for data in texts]
+    found = [np.array(sorted(words[w] for w in set(data.lower().split()).intersection(words)), "<i2").tobytes() for data in texts]
+    return stats, found
+
+
+def text_view(stats: list[bytes], found: list[bytes], n_words: int) -> np.ndarray:
+    out = np.zeros((len(stats), STATS + n_words), np.float32)
+    out[:, :STATS] = np.frombuffer(b"".join(stats), "<f4").reshape(-1, STATS)
+    rows = np.repeat(np.arange(len(found)), np.array([len(f) // 2 for f in found], np.int64))
+    out[rows, STATS + np.frombuffer(b"".join(found), "<i2")] = 1
     return out
 
 
-def meta_view(lang: list, source: list, sizes: list[int]) -> np.ndarray:
-    """Features of a row's metadata: its language and source, hashed, and bands of its length."""
-    out = np.zeros((len(lang), META), np.float32)
-    for k, (a, b, n) in enumerate(zip(lang, source, sizes, strict=True)):
-        out[k, zlib.crc32(f"lang={a}".encode()) % 16] = 1
-        out[k, 16 + zlib.crc32(f"source={b}".encode()) % 32] = 1
-        out[k, 48 + min(15, int(np.log2(n + 1)))] = 1
+def meta_parts(lang: list, source: list, sizes: list[int]) -> list[bytes]:
+    """The features of a row's metadata in short: its language and source, hashed, and the band of its length."""
+    return [bytes((zlib.crc32(f"lang={a}".encode()) % 16, 16 + zlib.crc32(f"source={b}".encode()) % 32, 48 + min(15, int(np.log2(n + 1))))) for a, b, n in zip(lang, source, sizes, strict=True)]
+
+
+def meta_view(parts: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(parts), META), np.float32)
+    out[np.repeat(np.arange(len(parts)), 3), np.frombuffer(b"".join(parts), np.uint8)] = 1
     return out
 
 
@@ -114,31 +122,33 @@ class Logistic:
 class CoTrained:
     """Two views of one label."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray):
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
         self.views = [Logistic(text.shape[1]), Logistic(meta.shape[1])]
         self.weights, self.constant = np.array([1.0, 0.0]), None
+        self.own, self.y, self.aside = [text, meta], y, np.arange(len(y)) % 5 == 4
+        self.taught: list[dict[int, tuple[np.ndarray, bool]]] = [{}, {}]
         if len(np.unique(y)) < 2:  # one label only: nothing to tell apart
             self.constant = float(y[0]) if len(y) else 1.0
+        self.train()
+
+    def train(self) -> None:
+        if self.constant is not None:
             return
-        aside = np.arange(len(y)) % 5 == 4
-        own = [text, meta]
-        rest = [more_text, more_meta]
-        taught: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, bool))] * 2
-        for turn in range(ROUNDS + 1):
-            for v, view in enumerate(self.views):
-                at, label = taught[v]
-                view.fit(np.vstack((own[v][~aside], rest[v][at])), np.concatenate((y[~aside], label)))
-            if turn == ROUNDS or not len(more_text):
-                break
-            for v, view in enumerate(self.views):  # teaches the other view
-                p = 1 / (1 + np.exp(-np.clip(view.logit(rest[v]), -30, 30)))
-                sure = np.concatenate((np.argsort(-p)[:PER_ROUND], np.argsort(p)[:PER_ROUND]))
-                sure = sure[(p[sure] > SURE) | (p[sure] < 1 - SURE)]
-                sure = np.setdiff1d(sure, taught[1 - v][0])
-                taught[1 - v] = (np.concatenate((taught[1 - v][0], sure)), np.concatenate((taught[1 - v][1], p[sure] > 0.5)))
-        areas = np.array([view.calibrate(own[v][aside], y[aside]) for v, view in enumerate(self.views)])
-        gain = np.maximum(areas - 0.5, 0) ** 2
-        self.weights = gain / gain.sum() if gain.sum() else self.weights
+        for own, view, taught in zip(self.own, self.views, self.taught, strict=True):
+            more = np.array([x for x, _ in taught.values()]).reshape(len(taught), own.shape[1])
+            view.fit(np.vstack((own[~self.aside], more)), np.concatenate((self.y[~self.aside], np.array([label for _, label in taught.values()], bool))))
+
+    def teach(self, teacher: int, key: int, views: tuple[np.ndarray, np.ndarray], label: bool) -> None:
+        """One view's label for a row, given to the other view; what a view was told first holds."""
+        self.taught[1 - teacher].setdefault(key, (views[1 - teacher], label))
+
+    def finish(self) -> None:
+        """Calibrates both views; what only training needs is let go."""
+        if self.constant is None:
+            areas = np.array([view.calibrate(own[self.aside], self.y[self.aside]) for own, view in zip(self.own, self.views, strict=True)])
+            gain = np.maximum(areas - 0.5, 0) ** 2
+            self.weights = gain / gain.sum() if gain.sum() else self.weights
+        del self.own, self.y, self.aside, self.taught
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -183,21 +193,60 @@ class Classifier:
         self.words, self.models = words, models
 
     def scores(self, texts: list[bytes], lang: list, source: list) -> dict[str, np.ndarray]:
-        text, meta = text_view(texts, self.words), meta_view(lang, source, list(map(len, texts)))
+        text, meta = text_view(*text_parts(texts, self.words), len(self.words)), meta_view(meta_parts(lang, source, list(map(len, texts))))
         return {k: m.score(text, meta) for k, m in self.models.items()}
 
 
+PARTS = "h long, stats binary, found binary, meta binary"
+
+
+def _sure(features: DataFrame, models: dict[str, CoTrained], n_words: int) -> DataFrame:
+    """label, view, positive and the features of the ``PER_ROUND`` texts of which each view is surest, for either value of each label. Copies of a text count once."""
+    tasks = [(name, v, sign) for name, m in models.items() if m.constant is None for v in (0, 1) for sign in (1, -1)]
+    shared = features.sparkSession.sparkContext.broadcast(([[(w.w, w.b, w.mean, w.scale) for w in m.views] for m in models.values() if m.constant is None]))  # of a fixed size
+    least = np.log(SURE / (1 - SURE))
+
+    def run(batches):
+        best: list[dict[int, tuple]] = [{} for _ in tasks]  # by text: how sure, and its features
+        for batch in batches:
+            stats, found, meta = (batch.column(c).to_pylist() for c in ("stats", "found", "meta"))
+            keys = batch.column("h").to_pylist()
+            rows = (text_view(stats, found, n_words), meta_view(meta))
+            for k, (_, v, sign) in enumerate(tasks):
+                w, b, mean, scale = shared.value[k // 4][v]
+                z = sign * np.round(((rows[v] - mean) / scale) @ w + b, 6)  # the last bits depend on how rows are batched
+                own = best[k]
+                for j in np.flatnonzero(z > least).tolist():
+                    new = (float(z[j]), meta[j], stats[j], found[j])
+                    if keys[j] not in own or own[keys[j]] < new:
+                        own[keys[j]] = new
+                if len(own) > PER_ROUND:
+                    best[k] = dict(sorted(own.items(), key=lambda x: (-x[1][0], x[0]))[:PER_ROUND])
+        for k, own in enumerate(best):
+            if own:
+                z, meta, stats, found = zip(*own.values(), strict=True)
+                yield pa.record_batch([pa.array([k] * len(own), pa.int32()), pa.array(z), *(pa.array(c, t) for c, t in zip((list(own), stats, found, meta), (pa.int64(), *[pa.binary()] * 3), strict=True))], ["task", "z", "h", "stats", "found", "meta"])
+        give_back()
+
+    each = features.mapInArrow(run, f"task int, z double, {PARTS}").groupBy("task", "h").agg(F.max(F.struct("z", "meta", "stats", "found")).alias("one")).select("task", "h", "one.*")
+    for keys in (["task", F.pmod("h", F.lit(64))], ["task"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("z"), "h"))
+        each = each.withColumn("rank", rank).where(F.col("rank") <= PER_ROUND).drop("rank")
+    named = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(v).alias("view"), F.lit(s > 0).alias("positive")) for n, v, s in tasks])
+    return each.select(F.element_at(named, F.col("task") + 1).alias("t"), "h", "stats", "found", "meta").select("t.*", "h", "stats", "found", "meta")
+
+
 def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic")) -> Classifier:
-    """Fits on documents that have labels (doc_id and a 0/1 column for each name). Rows with a null label or id are left out; where
-    rows of one id differ, the smaller quality and the larger other labels hold."""
-    rows = _rows(docs).where("doc_id is not null")
+    """Fits on documents that have labels (doc_id and a 0/1 column for each name). Rows with a null label or id are no labelled ones; where
+    rows of one id differ, the smaller quality and the larger other labels hold. Null texts are empty ones, null metadata a value of their own; without labelled
+    rows every score is 1."""
+    prepare(docs.sparkSession)
+    rows = _rows(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(n).cast("int").alias(n) for n in names]).dropna()
     known = known.groupBy("doc_id").agg(*[(F.min(n) if n == "quality" else F.max(n)).alias(n) for n in names])
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    # both sides to be broadcast have a fixed number of rows of numbers; without that, all texts would be shuffled to find the sample
+    some = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    # the side to be broadcast has a fixed number of rows of numbers; without that, all texts would be shuffled to find the sample
     sample = cut(rows.join(F.broadcast(some), "doc_id").select("text", *META_COLUMNS, "doc_id", *[(F.col(n) > 0).alias(n) for n in names]))
-    ids = rows.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
-    others = rows.join(F.broadcast(ids), "doc_id").select("text", *META_COLUMNS)
     words: dict[bytes, int] = {}
     for n in names:
         for w in _telling_words(sample, n):
@@ -205,21 +254,27 @@ def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality",
 
     def features(batch: pa.RecordBatch):
         texts = as_bytes(batch.column(0))
-        lang, source = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        text, meta = text_view(texts, words), meta_view(lang, source, list(map(len, texts)))
-        order = [xxhash.xxh3_64_intdigest(t) >> 1 for t in texts]
-        flags = batch.columns[4:] if len(batch.columns) > 3 else []
-        columns = [pa.array(order, pa.int64()), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in meta]), *flags]
-        yield pa.record_batch(columns, ["h", "text", "meta", *(names if flags else ())])
+        stats, found = text_parts(texts, words)
+        meta = meta_parts(batch.column(1).to_pylist(), batch.column(2).to_pylist(), list(map(len, texts)))
+        columns = [pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64()), *(pa.array(c, pa.binary()) for c in (stats, found, meta))]
+        yield pa.record_batch([*columns, *batch.columns[3:]], ["h", "stats", "found", "meta", *batch.schema.names[3:]])
 
     flags = "".join(f", {n} boolean" for n in names)
-    found = map_arrow(sample, features, f"h long, text binary, meta binary{flags}").orderBy("h").toArrow()
-    more = map_arrow(others, features, "h long, text binary, meta binary").orderBy("h").toArrow()
-    width = STATS + len(words)
-    matrix = lambda t, c, w: np.frombuffer(b"".join(t[c].to_pylist()), np.float32).reshape(-1, w)
-    text, meta = matrix(found, "text", width), matrix(found, "meta", META)
-    more_text, more_meta = matrix(more, "text", width), matrix(more, "meta", META)
-    models = {n: CoTrained(text, meta, np.array(found[n].to_pylist(), bool), more_text, more_meta) for n in names}
+    own = map_arrow(sample.drop("doc_id"), features, PARTS + flags).orderBy("h", "meta", *names).toArrow()  # the bounded sample
+    views = lambda t: (text_view(t["stats"].to_pylist(), t["found"].to_pylist(), len(words)), meta_view(t["meta"].to_pylist()))
+    models = {n: CoTrained(*views(own), np.array(own[n].to_pylist(), bool)) for n in names}
+    if any(m.constant is None for m in models.values()):
+        other = rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select("text", *META_COLUMNS)
+        pool = store(map_arrow(other, features, PARTS), "features")
+        for _ in range(ROUNDS):
+            sure = _sure(pool, models, len(words)).orderBy("label", "view", "positive", "h").toArrow()  # PER_ROUND rows a model and value at most
+            text, meta = views(sure)
+            for k, row in enumerate(sure.select(["label", "view", "positive", "h"]).to_pylist()):
+                models[row["label"]].teach(row["view"], row["h"], (text[k], meta[k]), row["positive"])
+            for m in models.values():
+                m.train()
+    for m in models.values():
+        m.finish()
     return Classifier(words, models)
 
 
@@ -244,13 +299,9 @@ def classify(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def keep(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns as they are."""
+    """The rows of ``docs`` that pass, all columns as they are. A null text is the empty text, null or lacking metadata a value of their own; repeated rows stay or go
+    together, an empty table gives no rows."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # of a fixed size
-
-    def run(batch: pa.RecordBatch):
-        get = lambda c: batch.column(c).cast(pa.string()).to_pylist() if c in batch.schema.names else [None] * batch.num_rows
-        found = shared.value.scores(as_bytes(batch.column("text")), get("lang"), get("source"))
-        yield batch.filter(pa.array(_verdict(found)))
-
-    return map_arrow(docs, run, docs.schema)
+    as_list = lambda c: c.cast(pa.string()).to_pylist()
+    return keep_rows(docs, ["text", *META_COLUMNS], lambda texts, lang, source: _verdict(shared.value.scores(as_bytes(texts), as_list(lang), as_list(source))))

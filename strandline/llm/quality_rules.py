@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, as_bytes, map_arrow, prepare
+from .common import WHITE, as_bytes, keep_rows, map_arrow, prepare
 from .rolling import Levels, word_values
 
 #: The largest share of a text's characters that may stand in repeated n-grams of each length, and in repeated lines.
@@ -85,12 +85,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text passes, all columns as they are. The verdict is taken on the row itself, with no join."""
-    schema = docs.schema
-
-    def run(batch: pa.RecordBatch):
-        good = [measure(x)[6] for x in as_bytes(batch.column("text"))]
-        yield batch.filter(pa.array(good, pa.bool_()))
-
+    """The rows of ``docs`` whose text passes, all columns as they are. The verdict is taken on the row itself, with no join: a null or empty
+    text goes, repeated rows stay or go together, an id, null or not, doesn't matter, an empty table gives no rows."""
     prepare(docs.sparkSession)
-    return map_arrow(docs, run, schema)
+    return keep_rows(docs, ["text"], lambda texts: [measure(x)[6] for x in as_bytes(texts)])

@@ -58,7 +58,7 @@ class Levels:
             if 2 * size <= self.exact:
                 self.levels.append(left | (right << np.uint64(8 * size)))
             else:
-                self.levels.append(self._join(left, right))
+                self.levels.append(self._join(left, right, np.array([2 * size], np.uint64) if size == self.exact else None))
         return self.levels[k]
 
     def all(self, length: int) -> np.ndarray:
