@@ -228,14 +228,6 @@ def d11_distractor_pool(spark, sf):
     return n.join(other, "flow").where("tool <> other").groupBy("tool").agg(F.array_join(F.sort_array(F.collect_set("other")), ",").alias("pool"))
 
 
-@_r.add(f"WITH {FLOW}, s AS (SELECT c_custkey % 100 AS chain, n_name AS tool FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 0 GROUP BY ALL), c AS (SELECT s.chain, f.flow, count(*) AS need, count(n.tool) AS have FROM s CROSS JOIN (SELECT DISTINCT flow FROM n) f LEFT JOIN n ON n.flow = f.flow AND n.tool = s.tool GROUP BY ALL) SELECT chain, min(flow) AS flow, count(*) AS n FROM c WHERE need = have GROUP BY chain")
-def d10_flow_classify(spark, sf):
-    nation = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("tool"))
-    chains = read(spark, sf, "customer").where("c_custkey % 7 = 0").join(nation, "c_nationkey").groupBy((F.col("c_custkey") % 100).alias("chain")).agg(F.collect_set("tool").alias("gold"))
-    pools = flows(spark, sf).groupBy("flow").agg(F.collect_set("tool").alias("pool"))  # five rows
-    return chains.join(F.broadcast(pools), F.size(F.array_except("gold", "pool")) == 0).groupBy("chain").agg(F.min("flow").alias("flow"), F.count(F.lit(1)).alias("n"))
-
-
 NEG = "p AS (SELECT p_partkey, p_brand FROM part), b AS (SELECT DISTINCT p_brand AS brand, p_type AS kind FROM part)"
 
 

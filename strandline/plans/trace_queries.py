@@ -131,32 +131,11 @@ def h26_list_edit(spark, sf):
     return rows.select("user_id", "block", text(A.swap_next(a, one)).alias("swapped"), text(A.delete_at(a, one)).alias("deleted"), text(A.insert_at(a, F.lit(2), F.lit("new"))).alias("inserted"), text(A.replace_at(a, one, F.lit("new"))).alias("replaced"))
 
 
-@_r.add("WITH p AS (SELECT i, j, k FROM range(1, 4) a(i), range(1, 4) b(j), range(1, 4) c(k) WHERE i <> j AND j <> k AND i <> k) SELECT i || ',' || j || ',' || k AS permutation, md5('42|perm|' || i || ',' || j || ',' || k) AS place FROM p WHERE NOT (i = 1 AND j = 2)")
-def h27_permutation_table(spark, sf):
-    n = spark.range(1, 4)
-    p = n.select(F.col("id").alias("i")).join(n.select(F.col("id").alias("j")), F.col("i") != F.col("j")).join(n.select(F.col("id").alias("k")), (F.col("k") != F.col("i")) & (F.col("k") != F.col("j")))
-    name = F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string"), F.col("k").cast("string"))
-    return p.where("not (i = 1 and j = 2)").select(name.alias("permutation")).select("permutation", seeded(42, "perm", F.col("permutation")).alias("place"))
-
-
 @_r.add(f"WITH {TRACES} SELECT user_id, block, '选择工具' AS instruction, '【候选工具】' || chr(10) || array_to_string(list_transform(cand, lambda x, i: i::VARCHAR || '. 工具名：' || x), chr(10)) || chr(10) || '【用户问题】' || chr(10) || user_id || '-' || block AS input, '{{\"工具\":[' || array_to_string(list_transform(gold, lambda x: '\"' || x || '\"'), ',') || ']}}' AS output FROM t")
 def j14_sft_alpaca_render(spark, sf):
     return traces(spark, sf).select("user_id", "block", *T.alpaca(F.lit("选择工具"), F.col("cand"), key(), F.col("gold")))
 
 
-@_r.add(f"WITH {TRACES}, r AS (SELECT *, array_to_string(list_sort(list_filter(cand, lambda x: NOT list_contains(gold, x))), ',') AS pool FROM t) SELECT user_id, block, pool, len(string_split(pool, ',')) AS n FROM r WHERE len(gold) < 5 AND pool <> ''")
-def j13_sft_multi_hard(spark, sf):
-    pool = F.array_sort(A.minus(F.col("cand"), F.col("gold")))
-    return traces(spark, sf).where(F.size("gold") < 5).select("user_id", "block", text(pool).alias("pool"), F.size(pool).cast("long").alias("n")).where("n > 0")
-
-
-@_r.add(f"WITH {TRACES}, o AS (SELECT user_id, block, unnest(cand) AS x FROM t) SELECT user_id, block, string_agg(x, ',' ORDER BY md5(concat_ws('|', '42', 'shown', user_id::VARCHAR, block::VARCHAR, x))) AS shown FROM o GROUP BY ALL")
-def j12_sft_multi_shuffle(spark, sf):
-    rows = traces(spark, sf).select("user_id", "block", F.explode("cand").alias("x"))
-    order = F.struct(seeded(42, "shown", F.col("user_id"), F.col("block"), F.col("x")).alias("h"), "x")
-    return rows.groupBy("user_id", "block").agg(text(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["x"])).alias("shown"))
-
-
 @_r.add(
     f"""WITH {TRACES}, n AS (SELECT user_id, block, gold, list_sort(spare) AS spare, list_concat(CASE WHEN len(gold) > 1 THEN ['order', 'missing'] ELSE [] END, CASE WHEN len(spare) > 0 THEN ['extra', 'replaced'] ELSE [] END) AS types, user_id || '-' || block AS k FROM m),
 o AS (SELECT *, row_number() OVER (PARTITION BY types ORDER BY md5(concat_ws('|', '42', 'negative', k)), k) - 1 AS turn FROM n WHERE len(types) > 0), p AS (SELECT *, types[turn % len(types) + 1] AS error_type FROM o)
@@ -203,18 +182,6 @@ def e12_dup_groups(spark, sf):
     return traces(spark, sf).groupBy(text("gold").alias("gold")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@_r.add(f"WITH {TRACES} SELECT gold[1] AS tool, count(*) AS records, round(avg(len(cand)), 6) AS candidates, sum(len(cand) - len(list_intersect(cand, gold)))::BIGINT AS distractors FROM t GROUP BY 1")
-def e20_build_report(spark, sf):
-    rows = traces(spark, sf).withColumn("tool", F.element_at("gold", 1))
-    return rows.groupBy("tool").agg(F.count(F.lit(1)).alias("records"), F.round(F.avg(F.size("cand")), 6).alias("candidates"), F.sum(F.size(A.minus(F.col("cand"), F.col("gold")))).alias("distractors"))
-
-
-@_r.add(f"WITH {TRACES} SELECT rule, id FROM (SELECT 'one tool at least' AS rule, user_id || '-' || block AS id FROM t WHERE len(pred) = 0 UNION ALL SELECT 'two to five candidates', user_id || '-' || block FROM t WHERE len(cand) NOT BETWEEN 2 AND 5 UNION ALL SELECT 'differs from gold', user_id || '-' || block FROM t WHERE gold = pred)")
-def m03_validation_samples(spark, sf):
-    rules = {"one tool at least": F.size("pred") > 0, "two to five candidates": F.size("cand").between(2, 5), "differs from gold": F.col("gold") != F.col("pred")}
-    return V.violations(traces(spark, sf).withColumn("key", key()), "key", rules)
-
-
 @_r.add("WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || '=' || n, ' -> ' ORDER BY event_type) AS context FROM e GROUP BY user_id")
 def d14_chain_context_concat(spark, sf):
     e = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
