@@ -134,6 +134,13 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def segmented(c: Column, dictionary) -> Column:
+    """Words of text without spaces: the longest dictionary word at each place, else a run of letters and digits that aren't Han, else one character. ``dictionary`` is a small
+    list of words; an alternation that has longer words first is a longest match."""
+    listed = "|".join(re.escape(w) for w in sorted(dictionary, key=lambda w: (-len(w), w)))
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"({listed + '|' if listed else ''}[\p{{L}}\p{{N}}&&[^\p{{IsHan}}]]+|\p{{IsHan}})"), 1)
+
+
 def characters(c: Column, n: int = 2) -> Column:
     """Character n-grams, for text without spaces between words."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))

@@ -19,26 +19,39 @@ def postings(docs: DataFrame, id_col: str, text_col: str, tokens=words) -> DataF
     return listed.select("doc", "dl", F.explode("t").alias("token")).groupBy("doc", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str, tokens=words) -> DataFrame:
-    """One row: n documents, avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
+def term_counts(docs: DataFrame, text_col: str, tokens=words) -> DataFrame:
+    """(token, n, w), tokenising once: in how many documents a token occurs; the row without a token has the number of documents, and in w that of their tokens."""
+    listed = docs.select(tokens(F.col(text_col)).alias("t"))
+    none = F.lit(None).cast("string").alias("token")
+    units = F.concat(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).alias("w"))), F.array(F.struct(none, F.size("t").alias("w"))))
+    return listed.select(F.explode(units).alias("u")).groupBy("u.token").agg(F.count(F.lit(1)).alias("n"), F.sum("u.w").alias("w"))
 
 
-def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """(token, df, idf); a negative idf becomes a quarter of the mean of all."""
-    raw = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))
-    raw = raw.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+def corpus_stats(counts: DataFrame) -> DataFrame:
+    """One row from ``term_counts``: n documents, avgdl."""
+    return counts.where("token is null").select("n", (F.col("w") / F.col("n")).alias("avgdl"))
+
+
+def idf(counts: DataFrame) -> DataFrame:
+    """(token, df, idf) from ``term_counts``; a negative idf becomes a quarter of the mean of all."""
+    docs = F.broadcast(counts.where("token is null").select(F.col("n").alias("docs")))  # one row
+    raw = counts.where("token is not null").select("token", F.col("n").alias("df")).crossJoin(docs)
+    raw = raw.withColumn("raw", F.ln(F.col("docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, q_col: str, q_text: str, k: int) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, q_col: str, q_text: str, k: int, tokens=words) -> DataFrame:
     """(qid, item, score, rank): documents sharing a token with the query, best first; ties to the smaller id. Repeated query tokens
-    count each time."""
-    posted, stats = postings(docs, id_col, text_col), corpus_stats(docs, text_col)
-    asked = queries.select(F.col(q_col).alias("qid"), F.explode(words(F.col(q_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = idf(posted, stats)
-    hits = posted.join(asked, "token").join(weights, "token").crossJoin(F.broadcast(stats.select("avgdl")))
+    count each time. Tokens that no query asks for are dropped before documents are shuffled, where the queries' are few enough to be sent to all."""
+    counts = term_counts(docs, text_col, tokens)
+    asked = queries.select(F.col(q_col).alias("qid"), F.explode(tokens(F.col(q_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.select("token").distinct()
+    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    listed = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t")).select("doc", "dl", F.explode("t").alias("token"))
+    posted = listed.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").groupBy("doc", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = asked.join(idf(counts), "token").crossJoin(F.broadcast(corpus_stats(counts).select("avgdl")))
+    hits = posted.join(F.broadcast(weighted) if few and asked.limit(8 * BROADCAST_QUERIES + 1).count() <= 8 * BROADCAST_QUERIES else weighted, "token")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", F.col("doc").alias("item")).agg(F.round(F.sum(part), 9).alias("score"))
     return top(scored, ["qid"], [F.desc("score"), F.col("item")], k)

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.arrays import delete_at, insert_at, inversions, is_unique, minus, replace_at, swap_next
 from ..functions.text import seeded
+from .builders import seeded_rank
 
 #: Fixed values of the data contract: the trace's key, verdicts and error labels.
 KEY = "工具"
@@ -107,8 +108,8 @@ def synthetic_negatives(queries: DataFrame, seed: int = 42) -> DataFrame:
         F.array_compact(F.array(F.when(n > 1, "order"), F.when(n > 1, "missing"), F.when(F.size("spare") > 0, "extra"), F.when(F.size("spare") > 0, "replaced"))),
     )
     rows = rows.where(F.size("types") > 0)
-    turn = F.row_number().over(Window.partitionBy("types").orderBy(seeded(seed, "negative", F.col("key")), "key")) - 1
-    rows = rows.withColumn("turn", turn).withColumn("error_type", F.element_at("types", (F.col("turn") % F.size("types") + 1).cast("int")))
+    rows = seeded_rank(rows, ["types"], seeded(seed, "negative", F.col("key")), "turn").withColumn("turn", F.col("turn") - 1)
+    rows = rows.withColumn("error_type", F.element_at("types", (F.col("turn") % F.size("types") + 1).cast("int")))
     one, g = F.lit(1), F.col("gold")
     rejected = F.when(F.col("error_type") == "order", swap_next(g, one)).when(F.col("error_type") == "missing", delete_at(g, n)).when(F.col("error_type") == "extra", insert_at(g, n + 1, F.try_element_at(F.col("spare"), one))).otherwise(replace_at(g, one, F.try_element_at(F.col("spare"), one)))
     return rows.withColumn("rejected", rejected).drop("turn", "types", "spare")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,7 @@ def compare(saved: DataFrame, fresh: DataFrame, key: str, fields: list[str]) ->
 
 
 def contiguous(df: DataFrame, key: str) -> DataFrame:
-    """Gaps in ids that should run without one."""
-    before = F.lag(key).over(Window.orderBy(key))
-    return df.select(key, before.alias("before")).where(F.col(key) - F.col("before") > 1).select(F.lit("gap").alias("rule"), F.col(key).cast("string").alias("id"))
+    """Gaps in ids that should run without one: each id but the least whose predecessor is missing."""
+    ids = df.select(F.col(key).alias("id"))
+    open_ = ids.join(ids.select((F.col("id") + 1).alias("id")), "id", "left_anti").crossJoin(F.broadcast(ids.agg(F.min("id").alias("least"))))
+    return open_.where("id > least").select(F.lit("gap").alias("rule"), F.col("id").cast("string").alias("id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relational as Q
 from ..operators import validate as V
+from ..operators.builders import numbered
 from ..sources.jsonl import parse
 from ..sources.sinks import as_json
 from .registry import Registry, read
@@ -309,8 +310,7 @@ def h13_prompt_render(spark, sf):
 
 @_r.add("WITH q AS (SELECT *, (row_number() OVER (ORDER BY item_id) - 1) AS i FROM benchmark) SELECT i // 10 AS batch, md5(string_agg((i % 10 + 1)::VARCHAR || '. ' || text, chr(10) ORDER BY i)) AS listed FROM q GROUP BY 1")
 def h15_batch_numbered_list(spark, sf):
-    i = F.row_number().over(Window.orderBy("item_id")) - 1
-    q = read(spark, sf, "benchmark").select("text", i.alias("i"))
+    q = numbered(read(spark, sf, "benchmark").select("item_id", "text"), "item_id").select("text", (F.col("n") - 1).alias("i"))
     one = F.struct("i", F.concat((F.col("i") % 10 + 1).cast("string"), F.lit(". "), F.col("text")).alias("x"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]), "\n")
     return q.groupBy(F.floor(F.col("i") / 10).cast("long").alias("batch")).agg(F.md5(listed.cast("binary")).alias("listed"))
@@ -394,9 +394,3 @@ def m05_unique_keys(spark, sf):
     return V.unique(read(spark, sf, "orders"), ["o_custkey"], "unique")
 
 
-@_r.add("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
-def n03_resume_stream(spark, sf):
-    from ..streaming.resume import pending
-
-    events = read(spark, sf, "events")
-    return pending(events, events.where("event_id % 3 = 0"), "event_id").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -146,12 +146,6 @@ def j16_dpo_pairs(spark, sf):
     return rows.select("user_id", "block", "error_type", text("gold").alias("chosen"), text("rejected").alias("rejected"))
 
 
-@_r.add(f"WITH {TRACES}, w AS (SELECT user_id, block, array_to_string(gold, ',') AS chosen, array_to_string(pred, ',') AS rejected FROM t WHERE gold <> pred) SELECT chosen, rejected, user_id, block FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws('|', '42', 'natural', user_id::VARCHAR, block::VARCHAR))) = 1")
-def j15_dpo_natural(spark, sf):
-    w = traces(spark, sf).where("gold <> pred").select("user_id", "block", text("gold").alias("chosen"), text("pred").alias("rejected"))
-    return keep(w, ["user_id"], [seeded(42, "natural", F.col("user_id"), F.col("block"))])
-
-
 @_r.add(f"WITH {TRACES}, s AS (SELECT unnest(gold) AS tool FROM t) SELECT x.tool, count(s.tool) AS n FROM (SELECT DISTINCT event_type AS tool FROM events UNION ALL SELECT 'never') x LEFT JOIN s USING (tool) GROUP BY x.tool")
 def e11_coverage_left_join(spark, sf):
     every = read(spark, sf, "events").select(F.col("event_type").alias("tool")).distinct().union(spark.createDataFrame([("never",)], "tool string"))
@@ -189,8 +183,3 @@ def d14_chain_context_concat(spark, sf):
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]), " -> ").alias("context"))
 
 
-@_r.add("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def n04_running_counters(spark, sf):
-    from ..streaming.resume import running_counts
-
-    return running_counts(read(spark, sf, "events"), "event_type")

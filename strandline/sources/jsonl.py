@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-from ..functions.text import narrow_punctuation, outermost_object, strip
+from ..functions.arrays import unalias
+from ..functions.text import candidate_tools, narrow_punctuation, outermost_object, strip
 
 #: Fixed value: the key that takes stray text in a repair.
 THOUGHTS = "思考"
@@ -136,3 +137,51 @@ def catalog_frame(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
         raise ValueError("the catalog is empty, or a description is blank")
     rows = [(i, n, t["description"], t.get("text_augmentation") or [], t.get("enhanced_description")) for i, (n, t) in enumerate(tools.items())]
     return spark.createDataFrame(rows, "index int, tool_name string, description string, text_augmentation array<string>, enhanced_description string")
+
+
+def labelled_violations(rows: DataFrame, allowed: list[str], unique_questions: bool = False) -> DataFrame:
+    """(rule, id) for rows (id, line) of labelled questions that break the contract: a blank line, broken JSON, no question, no gold tool, an unknown one, and a question met
+    before, if they have to differ. ``allowed`` is a small catalog."""
+    parsed = F.from_json("line", "query string, gold_tools array<string>")
+    known = F.array(*map(F.lit, allowed))
+    gold = F.coalesce(F.col("v.gold_tools"), F.array().cast("array<string>"))
+    blank = strip(F.col("line")) == ""
+    ok = ~blank & strict_object(F.col("line"))
+    checked = rows.withColumn("v", parsed).select("id", F.col("v.query").alias("query"), F.array_compact(F.array(
+        F.when(blank, "blank line"), F.when(~blank & ~ok, "not an object"), F.when(ok & (strip(F.coalesce("v.query", F.lit(""))) == ""), "no question"),
+        F.when(ok & (F.size(gold) == 0), "no gold tool"), F.when(ok & (F.size(F.array_except(gold, known)) > 0), "unknown tool"),
+    )).alias("rules"))
+    found = checked.select(F.explode("rules").alias("rule"), "id")
+    if unique_questions:
+        asked = checked.where("query is not null and trim(query) <> ''")
+        first = asked.groupBy("query").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.union(asked.join(first, "query").where("id > first").select(F.lit("question met before"), "id"))
+    return found
+
+
+def sft_source(rows: DataFrame, kind: str, allowed: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """id, query, tools, corrected, removed, rule of SFT source rows (id, line with query and 工具): aliases are put right and counted, tools met before in a list are taken
+    out and counted; rule names what is broken first: an unknown tool, or a number of tools that ``kind`` (single or multi) doesn't allow."""
+    tools = F.from_json("line", "`query` string, `工具` array<string>")
+    known = F.array(*map(F.lit, allowed))
+    out = rows.withColumn("v", tools).withColumn("raw", F.coalesce(F.col("v.`工具`"), F.array().cast("array<string>"))).withColumn("right", unalias(F.col("raw"), aliases))
+    out = out.withColumn("tools", F.array_distinct("right"))
+    n = F.size("tools")
+    rule = F.when(F.size(F.array_except("tools", known)) > 0, "unknown tool").when(n != 1 if kind == "single" else n < 2, "number of tools")
+    corrected = F.size(F.filter(F.arrays_zip("raw", "right"), lambda z: z["raw"] != z["right"]))
+    return out.select("id", F.col("v.query").alias("query"), "tools", corrected.alias("corrected"), (F.size("right") - n).alias("removed"), rule.alias("rule"))
+
+
+def alpaca_rows(rows: DataFrame) -> DataFrame:
+    """id, question, candidates, gold, rule of Alpaca lines (id, line): exactly the keys instruction, input, output, none blank, candidates listed in the input, gold tools in the
+    output."""
+    v = F.from_json("line", "instruction string, input string, output string")
+    keys = F.array_sort(F.json_object_keys("line"))
+    filled = lambda c: strip(F.coalesce(c, F.lit(""))) != ""
+    out = rows.withColumn("v", v).withColumn("candidates", candidate_tools(F.col("v.input")))
+    gold = F.from_json("v.output", "`工具` array<string>")["工具"]
+    out = out.withColumn("gold", gold)
+    rule = F.when(~F.coalesce(keys == F.array(F.lit("input"), F.lit("instruction"), F.lit("output")), F.lit(False)), "keys").when(~(filled(F.col("v.instruction")) & filled(F.col("v.input")) & filled(F.col("v.output"))), "blank")
+    rule = rule.when(F.size("candidates") < 1, "no candidates").when(F.coalesce(F.size("gold"), F.lit(0)) < 1, "no gold")
+    question = strip(F.substring_index(F.col("v.input"), "【用户问题】", -1))
+    return out.select("id", question.alias("question"), "candidates", "gold", rule.alias("rule"))

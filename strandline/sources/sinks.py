@@ -41,3 +41,36 @@ def guard_paths(*paths: str) -> None:
     clean = [p.rstrip("/") for p in paths]
     if len(set(clean)) < len(clean):
         raise ValueError(f"paths collide: {paths}")
+
+
+def append_history(df: DataFrame, path: str) -> None:
+    """Adds rows to a history; each part has the header."""
+    write_csv(df, path, "append")
+
+
+def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A report of few rows as one JSON file."""
+    as_json(df).coalesce(1).write.mode(mode).text(path)
+
+
+def save_index(vectors: DataFrame, path: str) -> None:
+    """Vectors and their metadata as parquet, in place of array, pickle and metadata files."""
+    vectors.write.mode("errorifexists").parquet(path)
+
+
+def rewrite(df: DataFrame, path: str) -> str:
+    """Rewrites a table that ``df`` may read: the new version is written beside it, the old one becomes a backup. Returns the backup's path."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(where(f"{path}.bak"), True)
+    if not (fs.rename(where(path), where(f"{path}.bak")) and fs.rename(where(f"{path}.new"), where(path))):
+        raise OSError(f"could not replace {path}")
+    return f"{path}.bak"
+
+
+def loss_series(log: DataFrame) -> DataFrame:
+    """step, loss from a trainer's log lines (JSON objects with step and loss; others are left out)."""
+    rows = log.select(F.get_json_object("value", "$.step").try_cast("long").alias("step"), F.get_json_object("value", "$.loss").try_cast("double").alias("loss"))
+    return rows.where("step is not null and loss is not null")
