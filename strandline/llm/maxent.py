@@ -6,7 +6,7 @@ Frequent words are dealt into classes of about equal mass, all others by their s
 factor is the word's share of its class in the training texts, with one added for each word of a surface class and one for the unseen.
 
 Weights are trained by distributed gradient updates: in each round every task runs through its part of the training
-texts in batches, and the tasks' changes are averaged by the number of their tokens. Counts of words come from all training texts.
+texts in batches, and the tasks' changes are averaged by the number of their tokens, in a tree that grows with the number of tasks. Counts of words come from all training texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ CLASSES = FREQUENT_CLASSES + SURFACE_CLASSES
 #: Words with classes of their own kind; words whose counts are sent to all tasks (the others are joined); both are fixed bounds.
 FREQUENT, SENT = 4096, 1 << 18
 BUCKETS = 1 << 13
-ROUNDS, RATE, BATCH = 2, 0.5, 16384
-SLICES = 32
+#: Every round runs through all training texts.
+ROUNDS, RATE, BATCH = 1, 0.5, 4096
+#: The weights are summed in so many slices, and in a tree of so many branches a node.
+SLICES, BRANCHES = 32, 8
 END_WORD, START_WORD = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
@@ -201,9 +203,11 @@ def train_round(train: DataFrame, model: Model, rate: float) -> None:
                     g[np.arange(len(y)), y] -= 1
                     bias -= rate * g.mean(axis=0)
                     for j in range(3):
-                        present, at, size = np.unique(ff[j], return_inverse=True, return_counts=True)
-                        cell = at[:, None] * CLASSES + np.arange(CLASSES)
-                        sums = np.bincount(cell.ravel(), weights=g.ravel(), minlength=len(present) * CLASSES).reshape(-1, CLASSES)
+                        order = np.argsort(ff[j].astype(np.uint16), kind="stable")
+                        own = ff[j][order]
+                        first_ = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                        present, size = own[first_], np.diff(np.append(first_, len(own)))
+                        sums = np.add.reduceat(g[order], first_, axis=0)
                         # the mean gradient of a feature, trusted the more the oftener the batch has it
                         w[j * BUCKETS + present] -= (sums * (rate / (size + 4))[:, None]).astype(np.float32)
                     seen += len(y)
@@ -216,10 +220,14 @@ def train_round(train: DataFrame, model: Model, rate: float) -> None:
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in frame["change"])
         return frame.iloc[:1].assign(seen=frame["seen"].sum(), change=[total.astype("<f4").tobytes()])
 
-    schema = "slice long, seen long, change binary"
-    changes = train.select("text").mapInArrow(run, schema)
-    first = changes.withColumn("part", F.spark_partition_id() % 16).groupBy("slice", "part").applyInPandas(lambda f: add(f.drop(columns="part")), schema)
-    rows = sorted(first.groupBy("slice").applyInPandas(add, schema).collect(), key=lambda r: r.slice)
+    schema = "slice long, part long, seen long, change binary"
+    changes = train.select("text").mapInArrow(run, "slice long, seen long, change binary").select("slice", F.spark_partition_id().cast("long").alias("part"), "seen", "change")
+    n = changes.rdd.getNumPartitions()
+    while True:  # a frame holds BRANCHES rows at most, however many tasks there are
+        changes, n = changes.withColumn("part", F.floor(F.col("part") / BRANCHES)).groupBy("slice", "part").applyInPandas(add, schema), -(-n // BRANCHES)
+        if n <= 1:
+            break
+    rows = sorted(changes.collect(), key=lambda r: r.slice)  # one row a slice
     if rows:
         size = np.array_split(np.arange(3 * BUCKETS + 1), SLICES)
         change = np.vstack([np.frombuffer(r.change, "<f4").reshape(len(size[r.slice]), CLASSES) / r.seen for r in rows])
@@ -244,9 +252,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total, distinct = int(mass.sum()), int(number.sum())
     top = counts.orderBy(F.desc("c"), "word").limit(SENT).toArrow()
     model = Model(top["word"].to_numpy().view(np.uint64), top["c"].to_numpy(), top["surface"].to_numpy().astype(np.int64), mass, number)
-    for k in range(rounds):
-        mine = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        train_round(mine, model, RATE)
+    for _ in range(rounds):
+        train_round(train, model, RATE)
     shared = spark.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batch: pa.RecordBatch):

@@ -289,3 +289,57 @@ def test_queries_ignore_other_columns(spark, odd, tmp_path):
         a, b = (collections.Counter(tuple(r) for r in QUERIES[name](spark, f"{tmp_path}/{x}").collect()) for x in "ab")
         assert a == b and sum(a.values()) == documents(spark, f"{tmp_path}/a").count()
         assert QUERIES[name](spark, f"{tmp_path}/c").count() == 0
+
+
+def test_maxent_score_against_brute_force(spark, monkeypatch):
+    """A trained model's score, token by token, with words of frequent and of surface classes and unseen ones; its probabilities of all words and of the unseen add up to 1."""
+    monkeypatch.setattr(maxent, "FREQUENT", 40)
+    seen = []
+    train = maxent.train_round
+    monkeypatch.setattr(maxent, "train_round", lambda *a: (train(*a), seen.append(a[1]))[0])
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'lorem'[: k % 6]}{k}{'.' if k % 7 == 0 else ''}" for k in rng.zipf(1.3, 120) % 300) for _ in range(80)] + [None]
+    while zlib.crc32(str(len(texts)).encode()) % 7 != 2:
+        texts.append("")
+    texts.append("Never  SEEN before,")  # held out
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(11)
+    got = {r.doc_id: r for r in maxent.score(docs).collect()}
+    m = seen[-1]
+    assert np.abs(m.weights).max() > 0.01
+    counts, kinds = collections.Counter(), {}
+    tokens = {}
+    for d, t in enumerate(texts):
+        own = maxent.Tokens([(t or "").encode()])
+        tokens[d] = list(zip(own.hash.tolist(), own.surface.tolist(), own.features().T.tolist(), strict=True))
+        if not got[d].held_out:
+            counts.update(own.hash.tolist())
+            kinds |= dict(zip(own.hash.tolist(), own.surface.tolist(), strict=True))
+    ranked = sorted(counts, key=lambda w: (-counts[w], np.uint64(w).astype(np.int64)))
+    classes = {w: (int(m.classes[k]) if k < 40 else maxent.FREQUENT_CLASSES + kinds[w]) for k, w in enumerate(ranked)}
+    mass, number = collections.Counter(), collections.Counter()
+    for w, c in classes.items():
+        mass[c] += counts[w]
+        number[c] += c >= maxent.FREQUENT_CLASSES
+
+    def share(w, surface):
+        c = classes.get(w, maxent.FREQUENT_CLASSES + surface)
+        free = c >= maxent.FREQUENT_CLASSES
+        return c, (counts[w] + free) / max(1, mass[c] + number[c] + free)
+
+    def chances(f):
+        z = m.bias.astype(float) + sum(m.weights[j * maxent.BUCKETS + f[j]].astype(float) for j in range(3))
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for d, own in tokens.items():
+        want = 0.0
+        for w, surface, f in own:
+            c, s = share(w, surface)
+            want += math.log10(chances(f)[c]) + math.log10(s)
+        assert abs(got[d].score - want) < 1e-3 * max(1, len(own))
+    assert any(w not in counts for own in tokens.values() for w, _, _ in own) and len(set(classes.values())) > 20
+    p = chances(tokens[0][5][2])
+    total = sum(p[c] * s for c, s in (share(w, 0) for w in classes))
+    total += sum(p[maxent.FREQUENT_CLASSES + k] / max(1, mass[maxent.FREQUENT_CLASSES + k] + number[maxent.FREQUENT_CLASSES + k] + 1) for k in range(maxent.SURFACE_CLASSES))
+    empty = sum(p[k] for k in range(maxent.FREQUENT_CLASSES) if not mass[k])
+    assert abs(total + empty - 1) < 1e-6
