@@ -1,9 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: shared rare-hash prefixes, SimHash filter, exact verification.
+"""Near-duplicates by SimHash, verified by the Jaccard similarity of shingle sets.
 
-A set's shingles are ordered by hash. Two sets of similarity t at least share a shingle among the first ``n - ceil(t n) + 1`` of each, so
-documents are grouped by those. Inside a group, pairs that size and place still allow and whose 128-bit SimHashes are near are candidates;
-a group gives a spanning set of candidate links, not all pairs. Components of candidates hold every similar pair, and each
-is split by exact similarity.
+A set's shingles are ordered by hash, and two sets of similarity t at least share one
+among the first ``n - ceil(t n) + 1`` of each. Inside a group of those, pairs that size and place still allow and whose 128-bit SimHashes are
+near are candidates; a group gives a spanning set of candidate links, not all pairs. Components of candidates hold every similar pair; each is split by exact
+similarity, in parts that meet pairwise where it is large.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keyed, map_arrow, pick, prepare, store
+from .common import as_bytes, attach, hot_keys, keyed, map_arrow, pick, prepare, salted, squeeze, store, unsqueeze
 from .components import components
 from .rolling import Levels, mix
 from .spans import symbols
@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY = 5, Fraction(4, 5)
 RADIUS = 44
 #: Sets of one group that one task compares at once.
 GROUP = 4096
+#: Shingles of a component of candidates that one task gets; parts of larger ones meet pairwise.
+PART = 1 << 20
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,20 +74,21 @@ def _posted(nodes: DataFrame) -> DataFrame:
         length = np.array([len(p) for p in prefixes])
         if not length.sum():
             return
-        own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), length) for c in ("node", "size", "s1", "s2")]
+        own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), length) for c in ("size", "s1", "s2")]
         place = np.concatenate([np.arange(n) for n in length]).astype(np.int32)
-        columns = (np.concatenate(prefixes), own[0], own[1], place, own[2], own[3])
+        columns = (np.concatenate(prefixes), own[0], place, own[1], own[2])
         for k in range(0, len(place), 20_000):
-            yield pa.record_batch([pa.array(c[k : k + 20_000]) for c in columns], ["key", "node", "size", "place", "s1", "s2"])
+            yield pa.record_batch([pa.array(c[k : k + 20_000]) for c in columns], ["key", "size", "place", "s1", "s2"])
 
-    return map_arrow(nodes, run, "key long, node long, size int, place int, s1 long, s2 long")
+    return map_arrow(nodes, run, "key long, size int, place int, s1 long, s2 long")
 
 
 def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups of equal key that connect all candidate pairs of each; columns as of ``_posted``, in order of key."""
-    keys, nodes, s1, s2 = columns[0], columns[1], columns[4], columns[5]
-    size = columns[2].astype(np.int64)
-    left = size - columns[3]
+    """Links between first SimHashes, inside groups of equal key, that connect all candidate pairs of each; columns as of
+    ``_posted``, in order of key."""
+    keys, s1, s2 = columns[0], columns[3], columns[4]
+    size = columns[1].astype(np.int64)
+    left = size - columns[2]
 
     def near(i, j):
         # at the first shingle that two sets share, what is left bounds their overlap
@@ -101,8 +104,8 @@ def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.
         if not len(same):
             break
         same = same[near(same, same + step)]
-        a.append(nodes[same])
-        b.append(nodes[same + step])
+        a.append(s1[same])
+        b.append(s1[same + step])
     for at, n in zip(first[length > 16].tolist(), length[length > 16].tolist(), strict=True):
         rest = np.arange(at, at + n)
         while len(rest) > 1:
@@ -111,16 +114,17 @@ def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.
                 x = queue.pop()
                 hit = near(np.full(len(rest), x), rest)
                 found, rest = rest[hit], rest[~hit]
-                a.append(np.full(len(found), nodes[x]))
-                b.append(nodes[found])
+                a.append(np.full(len(found), s1[x]))
+                b.append(s1[found])
                 queue += found.tolist()
-    return np.concatenate(a), np.concatenate(b)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
 
 
 def _by_group(sorted_: DataFrame, function, schema: str) -> DataFrame:
     """``function`` over whole groups of rows that have the same first column and stand together."""
 
-    def run(batches):
+    def groups(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -135,28 +139,66 @@ def _by_group(sorted_: DataFrame, function, schema: str) -> DataFrame:
         if held is not None:
             yield from function(held)
 
-    return sorted_.mapInArrow(run, schema)
+    return sorted_.mapInArrow(groups, schema)
+
+
+def _meetings(chunk, chunks):
+    """The numbers of the pairs of chunks that a row of ``chunk``, of so many, takes part in: each two chunks meet, a single one is by itself."""
+    others = F.filter(F.sequence(F.lit(0), chunks - 1), lambda o: (o != chunk) | (chunks == 1))
+    return F.transform(others, lambda o: F.least(o, chunk) * 1_000_003 + F.greatest(o, chunk))
 
 
 def links(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
-    """(a, b): candidate links between the nodes of ``_sets``."""
+    """(a, b): candidate links between first SimHashes (s1) of ``nodes``, by shared prefixes."""
     rows = _posted(nodes)
     large = rows.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("s1", "s2", "size", F.lit(7)), F.col("chunks")).cast("int")
     rows = rows.join(F.broadcast(large), "key", "left").withColumn("chunk", F.coalesce(own, F.lit(0)))
-    # a row of chunk c of k meets the chunks 0..k-1, under the number of the pair
-    pair = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda o: F.least(o, F.col("chunk")) * 1_000_003 + F.greatest(o, F.col("chunk")))
-    rest = ["node", "size", "place", "s1", "s2"]
-    rows = rows.select("key", *rest, F.explode(pair).alias("pair")).select(F.xxhash64("key", "pair").alias("key"), *rest)
+    rest = ["size", "place", "s1", "s2"]
+    rows = rows.select("key", *rest, F.explode(_meetings(F.col("chunk"), F.coalesce("chunks", F.lit(1)))).alias("pair"))
+    rows = rows.select(F.xxhash64("key", "pair").alias("key"), *rest)
 
     def found(table: pa.Table):
         a, b = _candidates([c.to_numpy() for c in table.columns], t)
-        keep = a != b
-        yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     return _by_group(rows.repartition("key").sortWithinPartitions("key"), found, "a long, b long").distinct()
 
 
+def _members(nodes: DataFrame, t: Fraction) -> DataFrame:
+    """id, tag, node, root, parts and part of each node in a component of candidates that has others."""
+    owner = components(store(links(nodes, t), "links")).select(F.col("node").alias("s1"), "root")
+    rows = nodes.select("s1", "node", "size", "one.*")
+    rows = salted(rows, owner, ["s1"], hot_keys(rows, ["s1"]), "left").withColumn("root", F.coalesce("root", "s1"))
+    rows = store(rows, "rooted")
+    parts = F.ceil(F.sum("size") / PART).cast("int").alias("parts")
+    roots = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), parts).where("n > 1")
+    return attach(rows, roots, ["root"], "n").select("id", "tag", "node", "root", "parts", F.pmod(F.xxhash64("node", F.lit(7)), "parts").cast("int").alias("part"))
+
+
+def _verified(docs: DataFrame, members: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """(parts, node, head): the links of exact similarity t that connect the nodes of each component, as stars inside each task's sets. Where a component
+    has one part, head is one for each class."""
+
+    def again(batch: pa.RecordBatch):
+        found = [shingles(x or b"", shingle).tobytes() for x in unsqueeze(batch)]
+        yield pa.record_batch([*(batch.column(c) for c in ("root", "node", "parts", "part")), pa.array(found, pa.binary())], ["root", "node", "parts", "part", "found"])
+
+    texts = squeeze(keyed(docs).select("id", "tag", "text"), once=("id", "tag")).join(members, ["id", "tag"]).dropDuplicates(["id", "tag"])
+    sets = map_arrow(texts, again, "root long, node long, parts int, part int, found binary")
+    sets = sets.withColumn("pair", F.explode(_meetings(F.col("part"), F.col("parts")))).select(F.xxhash64("root", "pair").alias("key"), "parts", "node", "found")
+
+    def split(table: pa.Table):
+        keys, parts, nodes, found = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3)
+        edges = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own, at = np.unique(nodes[a:b], return_index=True)
+            head = own[similar([np.frombuffer(found[a + k].as_py(), np.uint64) for k in at.tolist()], t)]
+            yield pa.record_batch([pa.array(parts[a:b][at]), pa.array(own), pa.array(head)], ["parts", "node", "head"])
+
+    return _by_group(sets.repartition("key").sortWithinPartitions("key"), split, "parts int, node long, head long")
+
+
 def similar(sets: list[np.ndarray], t: Fraction = SIMILARITY) -> np.ndarray:
     """For each set, the index of the first one that links of similarity t at least reach."""
     n, size = len(sets), np.array([len(s) for s in sets])
@@ -193,27 +235,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, t: Fraction = SIMILARITY)
     """One row of ``docs`` for each group that links of Jaccard similarity t at least connect: that of the smallest doc_id, a null one being
     larger than any. Rows that repeat a doc_id, or have none, are grouped by their texts like others. Texts without words are one group. Columns as they are."""
     prepare(docs.sparkSession)
-    rows = store(_sets(keyed(docs), shingle, t), "sets")
-    nodes = store(rows.where("size > 0").select("node", "size", "s1", "s2", "prefix").dropDuplicates(["node"]), "nodes")
-    roots = components(links(nodes, t))
-    members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    first = rows.join(members, "node").groupBy("node", "root").agg(F.min(F.struct("id", "tag")).alias("one"))
-    first = store(first.select("one.id", "one.tag", "node", "root"), "candidates")
-
-    def again(batch: pa.RecordBatch):
-        found = [shingles(x, shingle).tobytes() for x in as_bytes(batch.column("text"))]
-        yield pa.record_batch([batch.column("root"), batch.column("node"), pa.array(found, pa.binary())], ["root", "node", "found"])
-
-    texts = map_arrow(keyed(docs).join(first, ["id", "tag"]).select("root", "node", "text"), again, "root long, node long, found binary")
-
-    def split(table: pa.Table):
-        keys, nodes_, found = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2)
-        edges = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own, at = np.unique(nodes_[a:b], return_index=True)  # repeated rows give a node twice
-            head = own[similar([np.frombuffer(found[a + k].as_py(), np.uint64) for k in at.tolist()], t)]
-            yield pa.record_batch([pa.array(own), pa.array(head)], ["node", "head"])
-
-    heads = _by_group(texts.repartition("root").sortWithinPartitions("root"), split, "node long, head long")
-    chosen = rows.select("id", "tag", "node").join(heads, "node", "left").groupBy(F.coalesce("head", "node").alias("head")).agg(F.min(F.struct("id", "tag")).alias("one"))
+    sets = _sets(keyed(docs), shingle, t).groupBy("node")
+    nodes = store(sets.agg(F.min(F.struct("id", "tag")).alias("one"), *(F.first(c).alias(c) for c in ("size", "s1", "s2", "prefix"))), "nodes")
+    members = store(_members(nodes.where("size > 0"), t), "members")
+    verified = store(_verified(docs, members, shingle, t), "verified")
+    large = components(verified.where("parts > 1").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    heads = verified.where("parts = 1").select("node", "head").union(large)
+    chosen = nodes.select("node", "one").join(heads, "node", "left").groupBy(F.coalesce("head", "node").alias("head")).agg(F.min("one").alias("one"))
     return pick(docs, chosen.select("one.*"))

@@ -166,6 +166,38 @@ def test_pipeline_near_duplicates(spark, monkeypatch):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def near_group(n: int, length: int, seed: int) -> list[str]:
+    """Texts made of one by changing each a word or two."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 5000, length)]
+    out = []
+    for _ in range(n):
+        some = list(base)
+        for at in rng.integers(0, length, 2):
+            some[at] = f"v{rng.integers(10**6)}"
+        out.append(" ".join(some))
+    return out
+
+
+def test_near_copies_of_large_components(spark, monkeypatch):
+    """A component of more shingles than a task gets is split in parts, which give the same classes."""
+    texts = near_group(90, 70, 1) + near_group(40, 70, 2) + ["alone " + words(60, k, 900) for k in range(5)]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(k for k, r in enumerate(root) if r == mine) for mine in root}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "PART", 1000)
+    nodes = near_copies._sets(near_copies.keyed(docs), 5, near_copies.SIMILARITY).withColumn("one", F.struct("id", "tag"))
+    parts = near_copies._members(nodes, near_copies.SIMILARITY).groupBy("root", "part").count().collect()
+    assert len(parts) > len({p.root for p in parts}) and max(p["count"] for p in parts) * 66 < 3000
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == want
+
+
 def test_links_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = np.random.default_rng(1)
