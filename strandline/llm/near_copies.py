@@ -1,6 +1,7 @@
 """Near-duplicates by SimHash, verified by the Jaccard similarity of shingle sets.
 
-A set's shingles are ordered by hash, and two sets of similarity t at least share one
+Candidates are 64-bit SimHashes that pigeonhole blocks link, as in ``simhash``. Similarity 0.8 can mean more differing bits than blocks can
+find; the rest is found by shared rare-hash prefixes: a set's shingles are ordered by hash, and two sets of similarity t at least share one
 among the first ``n - ceil(t n) + 1`` of each. Inside a group of those, pairs that size and place still allow and whose 128-bit SimHashes are
 near are candidates; a group gives a spanning set of candidate links, not all pairs. Components of candidates hold every similar pair; each is split by exact
 similarity, in parts that meet pairwise where it is large.
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import as_bytes, attach, hot_keys, keyed, map_arrow, pick, prepare, salted, squeeze, store, unsqueeze
 from .components import components
 from .rolling import Levels, mix
@@ -84,7 +86,7 @@ def _posted(nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Links between first SimHashes, inside groups of equal key, that connect all candidate pairs of each; columns as of
+    """Links between first SimHashes, inside groups of equal key, that with those of blocks connect all candidate pairs of each; columns as of
     ``_posted``, in order of key."""
     keys, s1, s2 = columns[0], columns[3], columns[4]
     size = columns[1].astype(np.int64)
@@ -118,7 +120,8 @@ def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.
                 b.append(s1[found])
                 queue += found.tolist()
     a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
+    beyond = np.bitwise_count((a ^ b).view(np.uint64)) > simhash.RADIUS  # blocks link the others
+    return a[beyond], b[beyond]
 
 
 def _by_group(sorted_: DataFrame, function, schema: str) -> DataFrame:
@@ -148,8 +151,8 @@ def _meetings(chunk, chunks):
     return F.transform(others, lambda o: F.least(o, chunk) * 1_000_003 + F.greatest(o, chunk))
 
 
-def links(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
-    """(a, b): candidate links between first SimHashes (s1) of ``nodes``, by shared prefixes."""
+def beyond(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
+    """(a, b): candidate links between first SimHashes (s1) of ``nodes`` that blocks don't find, by shared prefixes."""
     rows = _posted(nodes)
     large = rows.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("s1", "s2", "size", F.lit(7)), F.col("chunks")).cast("int")
@@ -165,9 +168,16 @@ def links(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
     return _by_group(rows.repartition("key").sortWithinPartitions("key"), found, "a long, b long").distinct()
 
 
+def links(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
+    """(a, b): links between first SimHashes (s1) of ``nodes`` that connect all candidates: by pigeonhole blocks, and by prefixes the rest."""
+    fps = store(nodes.select(F.col("s1").alias("fp")).distinct(), "fps")
+    blocks = store(simhash.links(fps, fps.count()).toDF("a", "b"), "blocks")
+    return blocks.unionByName(store(beyond(nodes, t), "beyond"))
+
+
 def _members(nodes: DataFrame, t: Fraction) -> DataFrame:
     """id, tag, node, root, parts and part of each node in a component of candidates that has others."""
-    owner = components(store(links(nodes, t), "links")).select(F.col("node").alias("s1"), "root")
+    owner = components(links(nodes, t)).select(F.col("node").alias("s1"), "root")
     rows = nodes.select("s1", "node", "size", "one.*")
     rows = salted(rows, owner, ["s1"], hot_keys(rows, ["s1"]), "left").withColumn("root", F.coalesce("root", "s1"))
     rows = store(rows, "rooted")

@@ -198,6 +198,26 @@ def test_near_copies_of_large_components(spark, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == want
 
 
+def test_near_copies_by_blocks(spark, monkeypatch):
+    """Pairs of 4 differing bits at most are found by pigeonhole blocks, and prefixes add only pairs of more."""
+    texts = near_group(60, 400, 3)
+    fps = [int(near_copies.sketch(near_copies.shingles(t.encode()))[0]) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    four, five, zero = (np.array([0, k], np.int64) for k in (15, 31, 0))
+    key, size = np.array([9, 9]), np.array([50, 50], np.int32)
+    assert len(near_copies._candidates([key, size, zero, four, zero], near_copies.SIMILARITY)[0]) == 0
+    assert [c.tolist() for c in near_copies._candidates([key, size, zero, five, zero], near_copies.SIMILARITY)] == [[0], [31]]
+    root = list(range(len(texts)))
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if ((a ^ fps[j]) & (2**64 - 1)).bit_count() <= 4 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(k for k, r in enumerate(root) if r == mine) for mine in root}
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "beyond", lambda nodes, t: none)
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == want and len(want) < 50
+
+
 def test_links_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = np.random.default_rng(1)
