@@ -1,8 +1,8 @@
 """Connected components of links between longs, by alternating large-star and small-star rounds.
 
 Each round joins links with the least neighbour of each end, which is aggregated before the
-shuffle, so that a node with very many links makes one row per task. A round's links go to the
-checkpoint folder; the driver sees two numbers a round.
+shuffle, so that a node with very many links makes one row per task; its links are dealt over many tasks for the
+join. A round's links go to the checkpoint folder; the driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_SHARE, LEAST_HOT, cut, salted
 
 MAX_ROUNDS = 60
 
@@ -20,6 +20,12 @@ def _sign(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _met(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``links``, n at most, each with m of its a in ``least`` (a, m, n: a's links)."""
+    hot = F.broadcast(least.where(F.col("n") > max(LEAST_HOT, n // HOT_SHARE)).select("a", F.lit(True).alias("hot")))
+    return salted(links, least.drop("n"), ["a"], hot)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long) but the roots: root is the least node it can reach. Loops and
     repeated links don't matter; without links there are no rows."""
@@ -30,12 +36,12 @@ def components(links: DataFrame) -> DataFrame:
             break
         # large-star: each larger neighbour of a node gets the node's least neighbour, itself included
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _met(both.where("b > a"), least, sign[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small-star: each smaller neighbour of a node, and the node, get the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _met(large, least, sign[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         links = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = _sign(links)
         if after == sign:

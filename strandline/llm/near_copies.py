@@ -3,7 +3,7 @@
 Candidates are 64-bit SimHashes that pigeonhole blocks link, as in ``simhash``. Similarity 0.8 can mean more differing bits than blocks can
 find; the rest is found by shared rare-hash prefixes: a set's shingles are ordered by hash, and two sets of similarity t at least share one
 among the first ``n - ceil(t n) + 1`` of each. Inside a group of those, pairs that size and place still allow and whose 128-bit SimHashes are
-near are candidates; a group gives a spanning set of candidate links, not all pairs. Components of candidates hold every similar pair; each is split by exact
+near are candidates. Each task gives stars, not all pairs. Components of candidates hold every similar pair; each is split by exact
 similarity, in parts that meet pairwise where it is large.
 """
 
@@ -30,6 +30,8 @@ RADIUS = 44
 GROUP = 4096
 #: Shingles of a component of candidates that one task gets; parts of larger ones meet pairwise.
 PART = 1 << 20
+#: Links that a task holds before it gives them on.
+LINKS = 1 << 19
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,8 +126,45 @@ def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.
     return a[beyond], b[beyond]
 
 
-def _by_group(sorted_: DataFrame, function, schema: str) -> DataFrame:
-    """``function`` over whole groups of rows that have the same first column and stand together."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as these: from the least node of each to its others."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while (jumped := new[new]).tobytes() != new.tobytes():
+            new = jumped
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[own]], nodes[own]
+
+
+def _in_stars(batches):
+    """The links of a task (a, b) as stars: a large group's links are the same for most of its keys, and so few in all."""
+    held, n = [], 0
+
+    def joined():
+        return stars(*(np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in (0, 1)))
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n > LINKS:
+            held = [joined()]
+            n = len(held[0][0])
+            if 2 * n > LINKS:
+                yield pa.record_batch([pa.array(c) for c in held[0]], ["a", "b"])
+                held, n = [], 0
+    yield pa.record_batch([pa.array(c) for c in joined()], ["a", "b"])
+
+
+def _by_group(sorted_: DataFrame, function, schema: str, after=None) -> DataFrame:
+    """``function`` over whole groups of rows that have the same first column and stand together; ``after`` over all that a task yields."""
 
     def groups(batches):
         held = None
@@ -142,7 +181,7 @@ def _by_group(sorted_: DataFrame, function, schema: str) -> DataFrame:
         if held is not None:
             yield from function(held)
 
-    return sorted_.mapInArrow(groups, schema)
+    return sorted_.mapInArrow(groups if after is None else lambda batches: after(groups(batches)), schema)
 
 
 def _meetings(chunk, chunks):
@@ -165,7 +204,8 @@ def beyond(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:
         a, b = _candidates([c.to_numpy() for c in table.columns], t)
         yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _by_group(rows.repartition("key").sortWithinPartitions("key"), found, "a long, b long").distinct()
+    # in order of s1, so that a group's star has the same middle under most keys
+    return _by_group(rows.repartition("key").sortWithinPartitions("key", "s1"), found, "a long, b long", _in_stars).distinct()
 
 
 def links(nodes: DataFrame, t: Fraction = SIMILARITY) -> DataFrame:

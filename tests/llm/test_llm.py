@@ -218,6 +218,23 @@ def test_near_copies_by_blocks(spark, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == want and len(want) < 50
 
 
+def test_links_of_near_copies_are_few(spark):
+    """A group of near copies gives stars with one middle, not one for each shared shingle; a node's links don't meet in one task."""
+    texts = near_group(300, 70, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = near_copies._sets(near_copies.keyed(docs), 5, near_copies.SIMILARITY)
+    assert near_copies.links(nodes).count() < 3 * len(texts)
+    star = spark.createDataFrame([(0, k) for k in range(1, 3001)], "a long, b long")
+    least = star.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = components._met(star, least, 3000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in met) == 3000 and max(r["count"] for r in met) < 2000
+    assert components.components(star).where("root = 0").count() == 3000
+
+
 def test_links_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = np.random.default_rng(1)
