@@ -3,16 +3,39 @@
 Each round joins links with the least neighbour of each end, which is aggregated before the
 shuffle, so that a node with very many links makes one row per task; its links are dealt over many tasks for the
 join. A round's links go to the checkpoint folder; the driver sees two numbers a round.
+Up to ``FEW`` links need no rounds: one task settles them in numpy. A round is a dozen plans, broadcasts and jobs, whose traces the driver holds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, LEAST_HOT, cut, salted
 
 MAX_ROUNDS = 60
+#: Links that one task settles by itself: 8 MB of them.
+FEW = 1 << 19
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as these: from the least node of each to its others."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while (jumped := new[new]).tobytes() != new.tobytes():
+            new = jumped
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[own]], nodes[own]
 
 
 def _sign(links: DataFrame) -> tuple:
@@ -26,11 +49,21 @@ def _met(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
     return salted(links, least.drop("n"), ["a"], hot)
 
 
+def _settled(batches):
+    """(a, b) of all links of a task as (node, root)."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches)]
+    root, node = stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+    for k in range(0, len(node), 50_000):
+        yield pa.record_batch([pa.array(c[k : k + 50_000]) for c in (node, root)], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long) but the roots: root is the least node it can reach. Loops and
     repeated links don't matter; without links there are no rows."""
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())  # a > b
     sign = _sign(links)
+    if sign[0] <= FEW:
+        return cut(links.coalesce(1).mapInArrow(_settled, "node long, root long"))
     for _ in range(MAX_ROUNDS):
         if not sign[0]:
             break

@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash, verified by the Jaccard similarity of shingle sets.
 
 Candidates are 64-bit SimHashes that pigeonhole blocks link, as in ``simhash``. Similarity 0.8 can mean more differing bits than blocks can
-find; the rest is found by shared rare-hash prefixes: a set's shingles are ordered by hash, and two sets of similarity t at least share one
-among the first ``n - ceil(t n) + 1`` of each. Inside a group of those, pairs that size and place still allow and whose 128-bit SimHashes are
+find; the rest is found by shared prefixes: a set's shingles are ordered by hash, those of passages that many texts share after all others, and two sets of similarity t at least
+share one among the first ``n - ceil(t n) + 1`` of each. Inside a group of those, pairs that size and place still allow and whose 128-bit SimHashes are
 near are candidates. Each task gives stars, not all pairs. Components of candidates hold every similar pair; each is split by exact
 similarity, in parts that meet pairwise where it is large.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import as_bytes, attach, hot_keys, keyed, map_arrow, pick, prepare, salted, squeeze, store, unsqueeze
-from .components import components
+from .components import components, stars
 from .rolling import Levels, mix
 from .spans import symbols
 
@@ -32,6 +32,9 @@ GROUP = 4096
 PART = 1 << 20
 #: Links that a task holds before it gives them on.
 LINKS = 1 << 19
+#: Shingles that many texts share come last in the order that prefixes follow: the ``COMMON`` most frequent of those that stand in ``GROUP / 2`` texts or
+#: more, by the share 1 / ``SAMPLE`` of distinct texts. Any one order loses no pair, so the sample only decides how small groups are.
+COMMON, SAMPLE = 1 << 16, 16
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,8 +55,27 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _sets(rows: DataFrame, shingle: int, t: Fraction) -> DataFrame:
-    """id, tag, and of the set: node (its hash), size, sketch, and the prefix of its hashes."""
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that very many texts share, ``COMMON`` at most, in order."""
+    some = squeeze(rows.where(F.pmod("tag", F.lit(SAMPLE)) == 0).select("tag", "text"), once=("tag",)).dropDuplicates(["tag"])
+
+    def run(batch: pa.RecordBatch):
+        found, n = np.unique(np.concatenate([shingles(x or b"", shingle) for x in unsqueeze(batch)]), return_counts=True)
+        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    counts = map_arrow(some, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, GROUP // (2 * SAMPLE)))
+    return np.sort(counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+
+
+def _sets(rows: DataFrame, shingle: int, t: Fraction, common: np.ndarray | None = None) -> DataFrame:
+    """id, tag, and of the set: node (its hash), size, sketch, and the prefix of its hashes, those in ``common`` coming after all others."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)  # of a bounded size
+
+    def ordered(found: np.ndarray) -> np.ndarray:
+        if not len(shared.value):
+            return found
+        late = shared.value[np.minimum(np.searchsorted(shared.value, found), len(shared.value) - 1)] == found
+        return np.concatenate((found[~late], found[late]))
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[], [], [], [], []]
@@ -61,7 +83,7 @@ def _sets(rows: DataFrame, shingle: int, t: Fraction) -> DataFrame:
             found = shingles(data, shingle)
             n = len(found)
             a, b = sketch(found)
-            prefix = found[: n - -(-t.numerator * n // t.denominator) + 1] if n else found
+            prefix = ordered(found)[: n - -(-t.numerator * n // t.denominator) + 1] if n else found
             for column, x in zip(out, (xxhash.xxh64_intdigest(found.tobytes()), n, a, b, prefix.tobytes()), strict=True):
                 column.append(x)
         columns = [pa.array(np.array(out[0], np.uint64).view(np.int64)), *(pa.array(c, k) for c, k in zip(out[1:], (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True))]
@@ -126,24 +148,6 @@ def _candidates(columns: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.
     return a[beyond], b[beyond]
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components as these: from the least node of each to its others."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new, least = label.copy(), np.minimum(label[x], label[y])
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        while (jumped := new[new]).tobytes() != new.tobytes():
-            new = jumped
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[own]], nodes[own]
-
-
 def _in_stars(batches):
     """The links of a task (a, b) as stars: a large group's links are the same for most of its keys, and so few in all."""
     held, n = [], 0
@@ -285,7 +289,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, t: Fraction = SIMILARITY)
     """One row of ``docs`` for each group that links of Jaccard similarity t at least connect: that of the smallest doc_id, a null one being
     larger than any. Rows that repeat a doc_id, or have none, are grouped by their texts like others. Texts without words are one group. Columns as they are."""
     prepare(docs.sparkSession)
-    sets = _sets(keyed(docs), shingle, t).groupBy("node")
+    rows = keyed(docs)
+    sets = _sets(rows, shingle, t, _common(rows, shingle)).groupBy("node")
     nodes = store(sets.agg(F.min(F.struct("id", "tag")).alias("one"), *(F.first(c).alias(c) for c in ("size", "s1", "s2", "prefix"))), "nodes")
     members = store(_members(nodes.where("size > 0"), t), "members")
     verified = store(_verified(docs, members, shingle, t), "verified")

@@ -236,6 +236,44 @@ def test_links_of_near_copies_are_few(spark):
     assert components.components(star).where("root = 0").count() == 3000
 
 
+def test_shared_passages_make_no_large_groups(spark, monkeypatch):
+    """Texts that share a passage only don't meet under its shingles, so no group of theirs grows with the table."""
+    passage = words(40, 70, 10**6)
+    texts = [f"{words(160, 100 + k, 10**6)} {passage}" for k in range(300)]
+    texts += [texts[7] + " one more", "gone " + texts[8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    posted, largest = near_copies._posted, []
+
+    def counted(nodes):
+        largest.append(posted(nodes).groupBy("key").count().agg(F.max("count")).first()[0])
+        return posted(nodes)
+
+    monkeypatch.setattr(near_copies, "_posted", counted)
+    monkeypatch.setattr(near_copies, "GROUP", 64)
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == set(range(300))
+    assert max(largest) < 64, largest
+
+
+def test_few_links_need_few_jobs(spark, monkeypatch):
+    """Components of a bounded number of links are settled in one task; rounds, which larger graphs take, agree with it."""
+    rng = np.random.default_rng(5)
+    pairs = [(k, k + 1) for k in range(6)] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 90, (40, 2))] + [(-5, 3000), (3000, -(2**62))]
+    links = spark.createDataFrame(pairs, "a long, b long")
+
+    def run():
+        spark.sparkContext.setJobGroup(group := f"components-{rng.integers(10**9)}", "")
+        found = collections.Counter((r.node, r.root) for r in components.components(links).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, jobs
+
+    few, jobs = run()
+    assert jobs <= 12, jobs
+    monkeypatch.setattr(components, "FEW", 0)
+    many, more = run()
+    assert few == many and jobs < more and few[6, 0] == 1 and few[3000, -(2**62)] == 1
+
+
 def test_links_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 50)
     rng = np.random.default_rng(1)
