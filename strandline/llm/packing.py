@@ -13,6 +13,7 @@ import json
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,23 +23,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import as_bytes, cut, map_arrow, prepare
+from .common import WHITE, as_bytes, cut, map_arrow, prepare
 from .merging import MergeTable
+from .spans import chunks, inside
 
 SEQUENCE, END_ID = 4096, 1
 #: Pieces a group holds, on average; what one task packs.
 GROUP_PIECES = 50_000
 ROUNDS = 3
 CACHE_WORDS = 400_000
+#: Bytes encoded together, but for a longer single text.
+ENCODED = 1 << 20
 #: How this vocabulary's file splits lower-cased text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRETOKEN = regex.compile(PRETOKEN)
+_SPACE = regex.compile(rb"[ \t-\r]")
 PIECES = "doc_id long, tag int, copy long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Kinds of characters up to the last of Latin Extended-B: ASCII white space, letters, numbers, other signs; all else is the rest, as are those
+#: that another character may stand for once they are composed and lower-cased.
+_WHITE, _LETTER, _NUMBER, _SIGN, _REST = range(5)
+LATIN = 0x250
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each character, and its lower-cased form."""
+    kind, low = np.full(LATIN + 1, _REST, np.uint8), np.arange(LATIN + 1, dtype=np.uint32)
+    for c in map(chr, range(LATIN)):
+        own = c.lower()
+        if c.isprintable() and not c.isspace() and unicodedata.normalize("NFC", c) == c and len(own) == 1 and ord(own) < LATIN:
+            kind[ord(c)] = _LETTER if regex.match(r"\p{L}", own) else _NUMBER if regex.match(r"\p{N}", own) else _SIGN
+            low[ord(c)] = ord(own)
+    kind[np.flatnonzero(WHITE)] = _WHITE
+    return kind, low
+
+
+_KIND, _LOW = _kinds()
+
+
+def units(text: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What a text falls into before its parts are merged, as UTF-8: the lower-cased pre-tokens of words without characters of the rest, and other words
+    whole, as they are. Also whether each is such a word, and its place in ``text``."""
+    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _KIND[np.minimum(raw, LATIN)]
+    places = np.flatnonzero(kind)
+    if not len(places):
+        return pa.array([], pa.binary()), np.zeros(0, bool), places
+    kind, raw = kind[places], raw[places]
+    begins = np.concatenate(([True], np.diff(places) > 1))  # of words
+    rest = np.zeros(len(kind), bool)
+    if kind.max() == _REST:
+        word = np.flatnonzero(begins)
+        rest = np.repeat(np.maximum.reduceat(kind, word) == _REST, np.diff(np.append(word, len(kind))))
+        kind[rest] = _REST
+    low = np.where(rest, raw, _LOW[np.minimum(raw, LATIN)])
+    new = begins | (kind == _NUMBER)
+    new[1:] |= kind[1:] != kind[:-1]
+    # an apostrophe that begins a pre-token takes s, t, m, d, re, ve or ll with it, whatever follows
+    quote = np.flatnonzero((low == ord("'")) & new & ~rest)
+    if len(quote):
+        after, ends = np.append(low, (0, 0)), np.append(begins, (True, True))
+        one, two = after[quote + 1], after[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"]) & ~ends[quote + 1]
+        long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        long &= ~ends[quote + 1] & ~ends[quote + 2]
+        new[quote[short | long] + 1] = False
+        stop = np.concatenate((quote[short] + 2, quote[long] + 3))
+        new[stop[stop < len(new)]] = True
+    first = np.flatnonzero(new)
+    data = low.astype("<u4").tobytes().decode("utf-32-le").encode()
+    # where the characters begin among the bytes
+    at = first if len(data) == len(low) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[first]
+    offsets = np.append(at, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), rest[first], places[first]
+
+
+def at_white(text: bytes, most: int) -> Iterator[bytes]:
+    """``text`` in parts that begin at white space, cut where they reach ``most`` bytes: what the arrays of a worker hold for a very long text."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + most)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordBPE:
-    """Ids of texts under a lower-casing vocabulary with word ends. White space always separates, so ids are kept by word; words
-    beyond Latin letters go through the tokenizer library itself."""
+    """Ids of texts under a lower-casing vocabulary with word ends. White space always separates, so ids are kept by pre-token, or
+    by word where one has more than Latin letters and signs; words beyond Latin letters go through the tokenizer library itself."""
 
     _loaded: dict[str, WordBPE] = {}
 
@@ -73,50 +146,67 @@ class WordBPE:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, found: list[bytes], rest: list[bool]) -> list[bytes]:
+        """The ids of each of these, which are as by ``units``."""
         parts: list[bytes] = []
-        owner: list[int] = []
-        names = list(words)
-        for k, word in enumerate(names):
-            if word.isalpha():  # ASCII letters only
-                parts.append(word.lower())
-                owner.append(k)
-                continue
-            text = word.decode()
-            if len(word) > 256 or max(text) > "ɏ":
-                self.words[word] = self.whole(text)
-                continue
-            found = [p.encode() for p in _PRETOKEN.findall("".join(c.lower() for c in unicodedata.normalize("NFC", text)))]
-            parts += found
-            owner += [k] * len(found)
-        counts = np.zeros(len(names), np.int64)
-        ids = np.zeros(0, np.int32)
-        if parts:
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            tokens = self.inner[data]
-            ends = np.cumsum(sizes) - 1
-            tokens[ends] = self.final[data[ends]]
-            ids, got = self.table.merge(tokens, sizes)
-            np.add.at(counts, np.array(owner), got)
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for word, end in zip(names, (np.cumsum(counts) * 4).tolist(), strict=True):
-            if word not in self.words:
-                self.words[word] = raw[at:end]
-            at = end
+        numbers: list[int] = []
+        long: dict[int, bytes] = {}
+        for k, (unit, is_word) in enumerate(zip(found, rest, strict=True)):
+            if len(unit) > 256 or is_word and max(unit.decode()) > "ɏ":
+                long[k] = self.whole(unit.decode())
+                numbers.append(0)
+            elif is_word:
+                own = [p.encode() for p in _PRETOKEN.findall("".join(c.lower() for c in unicodedata.normalize("NFC", unit.decode())))]
+                parts += own
+                numbers.append(len(own))
+            else:
+                parts.append(unit)
+                numbers.append(1)
+        if not parts:
+            return [long.get(k, b"") for k in range(len(found))]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        tokens = self.inner[data]
+        ends = np.cumsum(sizes) - 1
+        tokens[ends] = self.final[data[ends]]
+        ids, got = self.table.merge(tokens, sizes)
+        raw = ids.astype("<u4").tobytes()
+        edges = (4 * np.concatenate(([0], np.cumsum(got)))[np.concatenate(([0], np.cumsum(numbers)))]).tolist()
+        out = [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for k, x in long.items():
+            out[k] = x
+        return out
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
-        plain = [b"<|" not in t for t in texts]
-        words = [(t.lower() if t.isascii() else t).split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        distinct = set().union(*words)
-        if len(self.words) + len(distinct) > CACHE_WORDS:
+        if len(texts) == 1 and len(texts[0]) > ENCODED and b"<|" not in texts[0]:
+            return [b"".join(self._encode([part])[0] for part in at_white(texts[0], ENCODED))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        whole = [b"<|" in t for t in texts]
+        plain = ["" if w else t.decode() for t, w in zip(texts, whole, strict=True)]
+        found, rest, places = units("\n".join(plain))
+        codes = found.dictionary_encode()
+        distinct, code = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy()
+        ids = list(map(self.words.get, distinct))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if len(self.words) + len(missing) > CACHE_WORDS:
             kept = list(self.words.items())
             self.words = dict(kept[len(kept) // 2 :] if len(kept) // 2 + len(distinct) <= CACHE_WORDS else [])
-        if missing := distinct.difference(self.words):
-            self.learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) if p else self.whole(t.decode()) for t, p, w in zip(texts, plain, words, strict=True)]
+        if missing:
+            is_word = np.zeros(len(distinct), bool)
+            is_word[code] = rest
+            for k, x in zip(missing, self.learn([distinct[k] for k in missing], is_word[missing].tolist()), strict=True):
+                ids[k] = x
+            self.words.update(zip([distinct[k] for k in missing], [ids[k] for k in missing], strict=True))
+        # the ids of all texts one after another: those of each unit, from where it stands in those of the distinct units
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        unit, k = inside(sizes[code])
+        flat = np.frombuffer(b"".join(ids), "<u4")[(np.cumsum(sizes) - sizes)[code][unit] + k]
+        starts = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        edges = np.searchsorted(unit, np.searchsorted(places, starts)).tolist()
+        return [self.whole(t.decode()) if w else flat[a:b].tobytes() for t, w, a, b in zip(texts, whole, edges[:-1], edges[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
@@ -128,8 +218,8 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
         rows: list[list] = [[], [], [], [], [], [], []]
         texts, ids = as_bytes(batch.column(3)), batch.column(0).to_pylist()
         tags, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for k in range(0, len(texts), 100):
-            for j, raw in enumerate(bpe.encode_many(texts[k : k + 100]), k):
+        for a, b in chunks(texts, ENCODED):
+            for j, raw in enumerate(bpe.encode_many(texts[a:b]), a):
                 raw += end
                 for p, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]

@@ -388,6 +388,25 @@ def test_packing(docs, none, rows):
     assert len(seqs) == -(-sum(r.length for r in got) // 4096) and packing.pack(none, path).count() == 0
 
 
+def test_packing_learns_each_pretoken_once(monkeypatch):
+    """Words that differ by signs around them share what is learnt; ids stay those of the library."""
+    path = vocabulary("word_bpe_49k.json")
+    bpe = packing.WordBPE(path)
+    bpe.encode_many([b"Strand strand, (strand) strand. strand's STRAND'S"])
+    assert set(bpe.words) == {b"strand", b",", b"(", b")", b".", b"'s"}
+    odd = [
+        "don't 'tis we've they'll I'd 're 'r 'l 'll's ''s ,'s a'start x'vest 'm'd 's't '", "a1b22c3.5e-7 __init__ #!/bin/sh $%&* ...", "Straße ÉCOLE naïve¿ İstanbul ŉ Ⱥb ǅ ª² ½x",
+        "e\u0301cole H\u0331x I\u0307 a\u00a0b c\u0085d e\u2028f g\x1ch \x00i \x7f j\u00adk", "шум 数据，处理 a数b العربية\u200f 😀:)", "z" * 300 + " " + "!" * 300 + " 'é'" + "7" * 40, "", " \t\r\n", "<|endoftext|> a <| b",
+    ]
+    rng = np.random.default_rng(5)
+    odd += ["".join(rng.choice(list("abstmdrevl'' .,1É\u0301ſш\n\xa0"), 60)) for _ in range(300)]
+    want = [np.array(bpe.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert bpe.encode_many([t.encode() for t in odd]) == want
+    assert [bpe.encode_many([t.encode()])[0] for t in odd] == want
+    monkeypatch.setattr(packing, "ENCODED", 16)
+    assert [bpe.encode_many([t.encode()])[0] for t in odd] == want
+
+
 def test_lower_bound():
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3
     assert packing.lower_bound(np.array([34] * 9), 100) >= 4
