@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, map_arrow, prepare
-from .rolling import word_values
-from .spans import chunks, word_edges
+from .spans import chunks, hashed_words
 
 FREQUENT_CLASSES, SURFACE_CLASSES = 32, 16
 CLASSES = FREQUENT_CLASSES + SURFACE_CLASSES
@@ -29,6 +28,8 @@ BUCKETS = 1 << 13
 ROUNDS, RATE, BATCH = 1, 0.5, 4096
 #: The weights are summed in so many slices, and in a tree of so many branches a node.
 SLICES, BRANCHES = 32, 8
+#: Features that a batch has more than so often have their gradients summed one by one.
+MANY = 32
 END_WORD, START_WORD = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
@@ -36,11 +37,10 @@ class Tokens:
     """The tokens of some texts: hash and surface class of each, the text it belongs to, and where texts begin."""
 
     def __init__(self, texts: list[bytes]):
-        data = b"\n".join(t.lower() for t in texts)
+        data = b"\n".join(texts).lower()
         raw = np.frombuffer(data, np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[:-1]]))).astype(np.int64)
-        start, stop = word_edges(raw)
-        words = word_values(data.split())
+        start, stop, words = hashed_words(raw)
         text = np.searchsorted(starts, start, side="right") - 1
         last = raw[stop - 1] if len(stop) else np.zeros(0, np.uint8)
         size = np.digitize(stop - start, (5, 8, 11))
@@ -146,15 +146,36 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def softmax_rows(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    logits = np.take(w, f[0], axis=0) + bias
+    logits = np.take(w, f[0], axis=0)
     for j in (1, 2):
         logits += np.take(w, j * BUCKETS + f[j], axis=0)
-    logits -= logits.max(axis=1, keepdims=True)
+    logits += bias
+    if not (logits.size and -60 < logits.min() <= logits.max() < 60):  # else exp can neither overflow nor vanish
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
     return logits
 
 
+def sums_by_key(rows: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in any order, how many of ``keys`` each is, the sum of ``rows[at]`` over them). Keys of many rows are summed one by one, all others
+    together: the first row of every key, then the second of those that have one, and so on."""
+    order = np.argsort(keys, kind="stable")
+    own, at = keys[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    size = np.diff(np.append(first, len(own)))
+    longest = np.argsort(-size, kind="stable")
+    first, size = first[longest], size[longest]
+    many = int(np.searchsorted(-size, -MANY, side="left"))
+    total = np.take(rows, at[first], axis=0)
+    for k, (a, n) in enumerate(zip(first[:many].tolist(), size[:many].tolist(), strict=True)):
+        total[k] = np.take(rows, at[a : a + n], axis=0).sum(axis=0)
+    for r in range(1, int(size[many]) if many < len(size) else 0):
+        n = int(np.searchsorted(-size, -r, side="left"))
+        total[many:n] += np.take(rows, at[first[many:n] + r], axis=0)
+    return own[first], size, total
+
+
 class Model:
     """What tasks need: the counts of the most frequent words, classes, and the weights."""
 
@@ -201,15 +222,12 @@ def train_round(train: DataFrame, model: Model, rate: float) -> None:
                     ff, y = f[:, k : k + BATCH], target[k : k + BATCH]
                     g = softmax_rows(w, bias, ff)
                     g[np.arange(len(y)), y] -= 1
-                    bias -= rate * g.mean(axis=0)
-                    for j in range(3):
-                        order = np.argsort(ff[j].astype(np.uint16), kind="stable")
-                        own = ff[j][order]
-                        first_ = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                        present, size = own[first_], np.diff(np.append(first_, len(own)))
-                        sums = np.add.reduceat(g[order], first_, axis=0)
-                        # the mean gradient of a feature, trusted the more the oftener the batch has it
-                        w[j * BUCKETS + present] -= (sums * (rate / (size + 4))[:, None]).astype(np.float32)
+                    bias -= np.float32(rate) * g.mean(axis=0)
+                    key = (ff + BUCKETS * np.arange(3)[:, None]).astype(np.uint16).ravel()
+                    present, size, sums = sums_by_key(g, np.tile(np.arange(len(y)), 3), key)
+                    # the mean gradient of a feature, trusted the more the oftener the batch has it
+                    sums *= (rate / (size + 4)).astype(np.float32)[:, None]
+                    w[present] -= sums
                     seen += len(y)
         if seen:
             change = np.vstack((w - m.weights, (bias - m.bias)[None, :])) * np.float32(seen)

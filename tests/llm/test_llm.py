@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, components, maxent, near_copies, packing, permutation_index, quality_classifier, quality_rules, reply_trees, simhash, substring_dedup, suffix_dedup
+from strandline.llm import bpe, components, maxent, near_copies, packing, permutation_index, quality_classifier, quality_rules, reply_trees, simhash, spans, substring_dedup, suffix_dedup
 from strandline.llm.merging import MergeTable
 from strandline.llm.queries import vocabulary
 
@@ -504,6 +504,42 @@ def test_maxent_sums_to_one():
     assert abs(sum(10 ** -m.log_class[k] * m.counts[m.classes == k].sum() for k in range(maxent.FREQUENT_CLASSES) if (m.classes == k).any()) - len(set(m.classes))) < 1e-9 and inside == 550
 
 
+def test_maxent_sums_by_key():
+    """Gradients by feature, with features of one row, of MANY and around it, and of more; no key's rows are lost."""
+    rng = np.random.default_rng(8)
+    for sizes in ([1], [3], [maxent.MANY], [maxent.MANY + 1], [700], [1, 2, maxent.MANY - 1, maxent.MANY, maxent.MANY + 1, 900, 1, 5], rng.zipf(1.5, 400) % 500 + 1):
+        keys = rng.permutation(np.repeat(rng.permutation(3 * maxent.BUCKETS)[: len(sizes)], sizes)).astype(np.uint16)
+        rows, at = rng.normal(size=(97, 48)).astype(np.float32), rng.integers(0, 97, len(keys))
+        key, size, total = maxent.sums_by_key(rows, at, keys)
+        assert sorted(key.tolist()) == sorted(set(keys.tolist()))
+        for k, n, t in zip(key, size, total, strict=True):
+            own = rows[at[keys == k]].astype(float)
+            assert n == len(own) and np.abs(t - own.sum(axis=0)).max() < 1e-3
+
+
+def test_maxent_softmax_of_large_weights():
+    f = np.array([[0, 1, 2], [0, 0, 0], [0, 0, 0]])
+    for scale in (1, 50, 300):
+        w = np.zeros((3 * maxent.BUCKETS, maxent.CLASSES), np.float32)
+        w[:3] = np.random.default_rng(scale).normal(size=(3, maxent.CLASSES)) * scale
+        e = np.exp(w[:3].astype(float) - w[:3].max(axis=1, keepdims=True))
+        p = maxent.softmax_rows(w, np.zeros(maxent.CLASSES, np.float32), f)
+        assert np.isfinite(p).all() and np.abs(p - e / e.sum(axis=1, keepdims=True)).max() < 1e-5
+    assert maxent.softmax_rows(w, np.zeros(maxent.CLASSES, np.float32), f[:, :0]).shape == (0, maxent.CLASSES)
+
+
+def test_maxent_hashes_distinct_words_once(monkeypatch):
+    """One list of the distinct words of a chunk is hashed, with the values that words have one by one."""
+    asked = []
+    hashed = spans.word_values
+    monkeypatch.setattr(spans, "word_values", lambda words: (asked.append(list(words)), hashed(words))[1])
+    texts = ["Ab  aB\tab, \x0bÉ é \x1c \x00 ab\n".encode(), b"", b" \n", "漢 ab,".encode() + b" x" * 50]
+    t = maxent.Tokens(texts)
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    want = [x for text in texts for x in (*hashed(text.lower().split()).tolist(), int(maxent.END_WORD))]
+    assert t.hash.tolist() == want and maxent.Tokens([b"", b" "]).hash.tolist() == [int(maxent.END_WORD)] * 2
+
+
 def test_maxent_lookup():
     keys = np.random.default_rng(0).integers(1 << 63, size=5000).astype(np.uint64)
     table = maxent.Lookup(keys)
