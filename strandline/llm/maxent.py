@@ -173,7 +173,7 @@ def sums_by_key(rows: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.
     for r in range(1, int(size[many]) if many < len(size) else 0):
         n = int(np.searchsorted(-size, -r, side="left"))
         total[many:n] += np.take(rows, at[first[many:n] + r], axis=0)
-    return own[first], size, total
+    return own[first].astype(np.int64), size, total
 
 
 class Model:
@@ -227,7 +227,7 @@ def train_round(train: DataFrame, model: Model, rate: float) -> None:
                     present, size, sums = sums_by_key(g, np.tile(np.arange(len(y)), 3), key)
                     # the mean gradient of a feature, trusted the more the oftener the batch has it
                     sums *= (rate / (size + 4)).astype(np.float32)[:, None]
-                    w[present] -= sums
+                    w[present] = np.take(w, present, axis=0) - sums
                     seen += len(y)
         if seen:
             change = np.vstack((w - m.weights, (bias - m.bias)[None, :])) * np.float32(seen)

@@ -531,8 +531,8 @@ def test_maxent_softmax_of_large_weights():
 def test_maxent_hashes_distinct_words_once(monkeypatch):
     """One list of the distinct words of a chunk is hashed, with the values that words have one by one."""
     asked = []
-    hashed = spans.word_values
-    monkeypatch.setattr(spans, "word_values", lambda words: (asked.append(list(words)), hashed(words))[1])
+    hashed, distinct = spans.word_values, spans.distinct_values
+    monkeypatch.setattr(spans, "distinct_values", lambda words: (asked.append(list(words)), distinct(words))[1])
     texts = ["Ab  aB\tab, \x0bÉ é \x1c \x00 ab\n".encode(), b"", b" \n", "漢 ab,".encode() + b" x" * 50]
     t = maxent.Tokens(texts)
     assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
