@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import inner_product, words
+from . import every_pair as E
 from .relational import top
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -57,14 +60,53 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, q
     return top(scored, ["qid"], [F.desc("score"), F.col("item")], k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, score: Column | None = None) -> DataFrame:
-    """(qid, item, score, rank) of queries (qid, q) against corpus (item, v), never a vector against itself; all are scored."""
+def scored_pairs(queries: DataFrame, corpus: DataFrame, score: Column) -> DataFrame:
+    """(qid, item, score), rounded to nine places, of queries (qid, q) against corpus (item, v), never a vector against itself."""
     small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     pairs = corpus.crossJoin(F.broadcast(queries) if small else queries).where("qid <> item")
-    scored = pairs.select("qid", "item", F.round(inner_product(F.col("q"), F.col("v")) if score is None else score, 9).alias("score"))
+    return pairs.select("qid", "item", F.round(score, 9).alias("score"))
+
+
+def scored_cells(queries: DataFrame, corpus: DataFrame, function, schema: str) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Queries (qid, q) against corpus (item, v) as by ``every_pair.cells``, and what this leaves out as ``scored_pairs``: vectors that are null, of another size than the others, or
+    with components that are null, not finite or huge. They take no products, but their pairs count too."""
+    asked, found = queries.where("qid is not null"), corpus.where("item is not null")
+    (n_queries, least, most, odd), (n, low, high, odd_too) = E.measured(asked, "q"), E.measured(found, "v")
+    score, size = inner_product(F.col("q"), F.col("v")), max(most or 0, high or 0)
+    if not n_queries or not n or size <= 0:
+        return None, [scored_pairs(asked, found, score)]
+    q, v = E.regular(F.col("q"), size), E.regular(F.col("v"), size)
+    ids = lambda rows, key, c: rows.select(F.col(key).cast("long").alias("id"), F.col(c).cast("array<double>").alias("v"))
+    cells = E.cells(ids(asked.where(q), "qid", "q"), ids(found.where(v), "item", "v"), size, n_queries, n, function, schema)
+    rest = [scored_pairs(asked.where(~q), found, score)] if odd or least < size else []
+    return cells, rest + ([scored_pairs(asked.where(q), found.where(~v), score)] if odd_too or low < size else [])
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, score: Column | None = None) -> DataFrame:
+    """(qid, item, score, rank) of queries (qid, q) against corpus (item, v), never a vector against itself; all are scored. Ids are whole numbers, unless ``score`` is given."""
+    if score is not None:
+        scored = scored_pairs(queries, corpus, score)
+    else:
+        cells, rest = scored_cells(queries, corpus, partial(E.best, k=k), "qid long, item long, score double")
+        scored = reduce(DataFrame.unionByName, ([] if cells is None else [cells.withColumn("score", F.round("score", 9))]) + rest)
     return top(scored, ["qid"], [F.desc("score"), F.col("item")], k)
 
 
+def dense_sums(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, n, total): how many vectors each of queries (qid, q) was scored against, of corpus (item, v) but its own, and the sum of the scores."""
+    cells, rest = scored_cells(queries, corpus, E.sums, "qid long, n long, total double")
+    parts = ([] if cells is None else [cells]) + [r.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")) for r in rest]
+    return reduce(DataFrame.unionByName, parts).groupBy("qid").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def first_of_group(queries: DataFrame, items: DataFrame, group: str, k: int) -> DataFrame:
+    """(qid, item, rank): for each of queries (qid, group) the k items of its group with the least ids, other than its own. Nothing but the k + 1 first ids of a group, up to k rows of each,
+    meets the queries."""
+    counts = items.where(F.col("item").isNotNull() & F.col(group).isNotNull()).groupBy(group, "item").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    first = top(counts, [group], [F.col("item")], k + 1).select(group, "item", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("time"))
+    return top(queries.join(first, group).where("qid <> item").select("qid", "item"), ["qid"], [F.col("item")], k)
+
+
 def minmax(c: Column, *by: str) -> Column:
     w = Window.partitionBy(*by)
     low, high = F.min(c).over(w), F.max(c).over(w)

@@ -119,8 +119,7 @@ def i05_dense_topk(spark, sf):
 def d08_cross_join_score(spark, sf):
     v = vectors(spark, sf)
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
-    pairs = v.select(F.col("vec_id").alias("item"), "v").crossJoin(F.broadcast(asked) if asked.limit(R.BROADCAST_QUERIES + 1).count() <= R.BROADCAST_QUERIES else asked).where("qid <> item")
-    return pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(inner_product(F.col("q"), F.col("v")), 9)), 4).alias("total"))
+    return R.dense_sums(asked, v.select(F.col("vec_id").alias("item"), "v")).select("qid", "n", F.round("total", 4).alias("total"))
 
 
 @_r.add("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(list_dot_product(v, v), 6) AS square FROM v")
@@ -160,8 +159,8 @@ GOLD = "gold AS (SELECT qid, item FROM (SELECT a.vec_id AS qid, b.vec_id AS item
 
 def gold(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "label")
-    pairs = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label").join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("qid <> item")
-    return top(pairs.select("qid", "item"), ["qid"], [F.col("item")], 4).where("rank <= 1 + qid % 4").drop("rank")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return R.first_of_group(asked, v.select(F.col("vec_id").alias("item"), "label"), "label", 4).where("rank <= 1 + qid % 4").drop("rank")
 
 
 HITS = "worst AS (SELECT qid, count(*) AS n, CASE WHEN count(*) FILTER (rank IS NULL) = 0 THEN max(rank) END AS worst FROM gold LEFT JOIN d USING (qid, item) GROUP BY qid)"
