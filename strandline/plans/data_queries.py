@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import relational as Q
 from ..operators import validate as V
-from ..operators.builders import numbered
+from ..operators.builders import first_n, numbered, seeded_order
 from ..sources.jsonl import parse
 from ..sources.sinks import as_json
 from .registry import Registry, read
@@ -229,6 +229,8 @@ def d11_distractor_pool(spark, sf):
     return n.join(other, "flow").where("tool <> other").groupBy("tool").agg(F.array_join(F.sort_array(F.collect_set("other")), ",").alias("pool"))
 
 
+#: Parts that one task draws negatives for.
+NEGATIVE_ROWS = 200_000
 NEG = "p AS (SELECT p_partkey, p_brand FROM part), b AS (SELECT DISTINCT p_brand AS brand, p_type AS kind FROM part)"
 
 
@@ -236,7 +238,10 @@ NEG = "p AS (SELECT p_partkey, p_brand FROM part), b AS (SELECT DISTINCT p_brand
 def j07_negatives_random(spark, sf):
     part = read(spark, sf, "part").select("p_partkey", "p_brand")
     every = part.agg(F.sort_array(F.collect_set("p_brand")).alias("brands"))  # the catalog, one row
-    rows = part.crossJoin(F.broadcast(every)).select("p_partkey", F.explode(F.array_remove("brands", F.col("p_brand"))).alias("negative"))
+    # a row's own first three suffice; a key's rows are brought together before they become three
+    dealt = part.repartition(max(8, -(-part.count() // NEGATIVE_ROWS)), "p_partkey").crossJoin(F.broadcast(every))
+    first = first_n(seeded_order(F.array_remove("brands", F.col("p_brand")), 42, "negative", F.col("p_partkey")), 3)
+    rows = dealt.select("p_partkey", F.explode(first).alias("negative"))
     return Q.top(rows, ["p_partkey"], [X.seeded(42, "negative", F.col("p_partkey"), F.col("negative")), F.col("negative")], 3, "n")
 
 
