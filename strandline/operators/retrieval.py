@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import inner_product, words
 from . import every_pair as E
+from . import scoring as S
 from .relational import top
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -46,18 +48,57 @@ def idf(counts: DataFrame) -> DataFrame:
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, q_col: str, q_text: str, k: int, tokens=words) -> DataFrame:
     """(qid, item, score, rank): documents sharing a token with the query, best first; ties to the smaller id. Repeated query tokens
-    count each time. Tokens that no query asks for are dropped before documents are shuffled, where the queries' are few enough to be sent to all."""
+    count each time. Where the queries' tokens are few enough to be sent to all and ids are whole numbers, documents are scored where they are read;
+    those that share an id or have none, and all other cases, are joined with the queries by token."""
     counts = term_counts(docs, text_col, tokens)
     asked = queries.select(F.col(q_col).alias("qid"), F.explode(tokens(F.col(q_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    whole = all(dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") for df, c in ((docs, id_col), (queries, q_col)))
+    if not few or not whole:
+        scored = joined_scores(docs, asked, idf(counts), corpus_stats(counts).select("avgdl"), id_col, text_col, few, tokens)
+    else:
+        asked_rows = asked.where("qid is not null").collect()
+        avgdl, weight = asked_weights(counts, {r.token for r in asked_rows})
+        listed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+        unclear = listed.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc is null").select("doc")
+        known = [(r.qid, r.token, r.qtf * weight[r.token]) for r in asked_rows if r.token in weight]
+        parts = []
+        if odd := not unclear.isEmpty() or asked.where("qid is null").limit(1).count() > 0:
+            stats = docs.sparkSession.createDataFrame([(avgdl,)], "avgdl double")
+            weights = docs.sparkSession.createDataFrame(list(weight.items()), "token string, idf double")
+            repeated = listed.join(unclear, listed["doc"].eqNullSafe(unclear["doc"]), "left_semi")
+            parts = [joined_scores(repeated, asked, weights, stats, "doc", "text", True, tokens), joined_scores(listed.join(unclear, listed["doc"].eqNullSafe(unclear["doc"]), "left_anti"), asked.where("qid is null"), weights, stats, "doc", "text", True, tokens)]
+            listed = listed.join(unclear, listed["doc"].eqNullSafe(unclear["doc"]), "left_anti")
+        if known or not odd:
+            found = S.best(listed.select(F.col("doc").cast("long"), tokens(F.col("text")).alias("t")), S.gathered(known), k, avgdl or 1.0, K1, B)
+            parts.append(found.select("qid", "item", F.round("score", 9).alias("score")))
+        scored = reduce(DataFrame.unionByName, parts)
+    return top(scored, ["qid"], [F.desc("score"), F.col("item")], k)
+
+
+def asked_weights(counts: DataFrame, wanted: set[str]) -> tuple[float | None, dict[str, float]]:
+    """avgdl, and the idf (as by ``idf``) of the wanted tokens that occur, from one pass over ``term_counts``: what comes back is a row for each of them and one for each df that others have."""
+    listed = counts.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "named string")
+    # a condition on n stays above the sum, so all documents are read once
+    total = F.when(F.col("n") > 0, F.col("token").isNull())
+    rows = counts.withColumn("total", total).join(F.broadcast(listed), F.col("token") == F.col("named"), "left").groupBy("total", "named", "n").agg(F.count(F.lit(1)).alias("terms"), F.sum("w").alias("w")).collect()
+    docs = next(((r.n, r.w) for r in rows if r.total), (0, 0))
+    raw = lambda df: math.log(docs[0] - df + 0.5) - math.log(df + 0.5)
+    terms = [r for r in rows if not r.total]
+    mean = math.fsum(r.terms * raw(r.n) for r in terms) / (sum(r.terms for r in terms) or 1)
+    return docs[1] / docs[0] if docs[0] else None, {r.named: EPSILON * mean if raw(r.n) < 0 else raw(r.n) for r in terms if r.named is not None}
+
+
+def joined_scores(docs: DataFrame, asked: DataFrame, weights: DataFrame, stats: DataFrame, id_col: str, text_col: str, few: bool, tokens=words) -> DataFrame:
+    """(qid, item, score), a row for each query and document that share a token, from ``asked`` (qid, token, qtf), weights (token, idf) and stats (avgdl; one row). Tokens that no query asks for
+    are dropped before documents are shuffled, where the queries' are few enough to be sent to all."""
     wanted = asked.select("token").distinct()
-    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     listed = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t")).select("doc", "dl", F.explode("t").alias("token"))
     posted = listed.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").groupBy("doc", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = asked.join(idf(counts), "token").crossJoin(F.broadcast(corpus_stats(counts).select("avgdl")))
-    hits = posted.join(F.broadcast(weighted) if few and asked.limit(8 * BROADCAST_QUERIES + 1).count() <= 8 * BROADCAST_QUERIES else weighted, "token")
+    weighted = asked.join(weights, "token").crossJoin(F.broadcast(stats))
+    hits = posted.join(F.broadcast(weighted) if few else weighted, "token")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", F.col("doc").alias("item")).agg(F.round(F.sum(part), 9).alias("score"))
-    return top(scored, ["qid"], [F.desc("score"), F.col("item")], k)
+    return hits.groupBy("qid", F.col("doc").alias("item")).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def scored_pairs(queries: DataFrame, corpus: DataFrame, score: Column) -> DataFrame:

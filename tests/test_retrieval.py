@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.text import inner_product
-from strandline.operators import every_pair, retrieval
+from strandline.operators import every_pair, retrieval, scoring
 from strandline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,31 @@ def test_gold_joins_few_items(spark, tmp_path):
 
     rows = gold(spark, str(tmp_path))
     assert rows.count() == sum(1 + q % 4 for q in range(0, n, 20))
+
+
+def test_scores_in_documents_equal_join(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PAIRS", 40)
+    monkeypatch.setattr(scoring, "CELLS", 60)
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.geometric(0.15, n))
+    docs = [(100 + i, text(int(rng.integers(0, 30)))) for i in range(300)] + [(500 + i, "w1 w2 w2") for i in range(30)]  # equal scores
+    docs += [(101, "w1 w3"), (101, "w1 w3"), (102, text(9)), (None, "w1 w2"), (None, "w4"), (700, None), (701, ""), (702, "W1, w2!")]  # repeated and missing ids
+    asked = [(i, text(6)) for i in range(100, 110)] + [(110, "w1 w1 w2"), (111, "nothing"), (112, None), (113, ""), (None, "w2"), (100, "w1 w9")]
+    d, q = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "id long, text string")
+    as_text = lambda df: df.withColumn("id", F.col("id").cast("string"))  # noqa: E731, by three digits, so in the same order
+    got = retrieval.bm25_topk(d, q, "id", "text", "id", "text", 7).select(F.col("qid").cast("string"), F.col("item").cast("string"), F.round("score", 6), "rank")
+    want = retrieval.bm25_topk(as_text(d), as_text(q), "id", "text", "id", "text", 7).select("qid", "item", F.round("score", 6), "rank")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(want)
+
+
+def test_bm25_shuffles_few_rows(spark):
+    made = plan(catalog.QUERIES["i02_bm25_topk"](spark, SF))
+    assert "MapInArrow" in made, "scores are summed within documents"
+
+
+@pytest.mark.parametrize("name", ["i13_rerank_lexical", "i14_rerank_summary"])
+def test_rerank_leaves_texts_in_place(spark, name):
+    made = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftOuter" not in "".join(x for x in made.splitlines() if "item" in x and "qid" not in x) and "MapInArrow" in made
+    assert any("BroadcastHashJoin [item" in x and "Inner" in x for x in made.splitlines())
