@@ -5,8 +5,12 @@ Everything "random" is an order by md5, row by row, so nothing has to meet in on
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Callable
+from hashlib import md5
+from heapq import nsmallest
+from itertools import islice, permutations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from ..functions.text import seeded
 
 #: Most candidates that a prompt shows, and most distractors of a sample with one gold tool and with several.
 CANDIDATES, SINGLE_DISTRACTORS, HARD_DISTRACTORS = 5, 4, 3
+#: Rows of a sample that is taken by one sort.
+AT_ONCE = 10_000
 
 
 def seeded_number(seed: int, purpose: str, *key: Column) -> Column:
@@ -24,7 +30,7 @@ def seeded_number(seed: int, purpose: str, *key: Column) -> Column:
 def seeded_order(a: Column, seed: int, purpose: str, key: Column) -> Column:
     """The elements of an array of strings in seeded order."""
     hashed = F.transform(a, lambda t: F.struct(seeded(seed, purpose, key, t).alias("h"), t.alias("t")))
-    return F.transform(F.array_sort(hashed), lambda s: s["t"])
+    return F.transform(F.sort_array(hashed), lambda s: s["t"])  # array_sort compares by an interpreted function
 
 
 def first_n(a: Column, n: Column | int) -> Column:
@@ -59,9 +65,20 @@ def numbered(df: DataFrame, key: str, name: str = "n", buckets: int = 256) -> Da
 
 def exact_sample(df: DataFrame, n: int, order: Column) -> DataFrame:
     """n rows by seeded order, or all if there are fewer."""
+    if n <= AT_ONCE:  # each task keeps so many
+        return df.withColumn("__h", order).orderBy("__h").limit(n).drop("__h")
     return seeded_rank(df, [], order, "__place").where(F.col("__place") <= n).drop("__place")
 
 
+def cut_at(counts: list[tuple[int, str, int]], target: int) -> tuple[int, str, int] | None:
+    """Of sorted (round, bucket, rows) the round and bucket that the first ``target`` rows end in, and how many of its rows are among them; None if there aren't more rows."""
+    for k, bucket, n in counts:
+        if n > target:
+            return k, bucket, max(target, 0)
+        target -= n
+    return None
+
+
 def catalog_row(catalog: DataFrame) -> DataFrame:
     """One row of a small catalog (tool, category, description, place): names in order, and maps from tool to category and description and from category to tools."""
     by_category = catalog.groupBy("category").agg(F.array_sort(F.collect_list("tool")).alias("tools")).agg(F.map_from_entries(F.collect_list(F.struct("category", "tools"))).alias("tools_of"))
@@ -142,16 +159,42 @@ def unused_orders(gold: Column, orders: Column, seed: int, key: Column, rounds:
     return first_n(seeded_order(listed, seed, "permutation", key), rounds)
 
 
-def multi_shuffle_samples(records: DataFrame, target: int, rounds: int = 3, seed: int = 42) -> DataFrame:
-    """id, round, shown (joined by commas): every record (id, gold of 2 to ``CANDIDATES`` tools) once in another order than its own, then, round by round and in seeded order, in
-    orders not yet used, until there are ``target``. Fewer come out where orders or ``rounds`` are used up."""
-    table = F.broadcast(permutation_table(records.sparkSession))
-    rows = records.join(table, F.size("gold") == F.col("n")).select("id", F.posexplode(unused_orders(F.col("gold"), F.col("orders"), seed, F.col("id"), rounds)).alias("round", "shown"))
-    rows = rows.withColumn("round", F.col("round") + 1)
-    ranked = seeded_rank(rows, ["round"], seeded(seed, "shuffled", F.col("id"), F.col("round")), "place")
-    sizes = ranked.groupBy("round").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("round", F.coalesce(F.sum("size").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each round
-    return ranked.join(F.broadcast(before), "round").where(F.col("before") + F.col("place") <= target).select("id", "round", "shown")
+def first_unused_orders(gold: Column, seed: int, key: Column, rounds: int) -> Column:
+    """As ``unused_orders`` of ``permutation_table``. Most of a record's orders are only hashed, so this is Python."""
+
+    def first(tools: list, start: bytes) -> list[bytes]:
+        every = islice(permutations(tools), 1, None)
+        shown = map(b",".join, every if None not in tools else ([t for t in p if t is not None] for p in every))
+        return [t for _, t in nsmallest(rounds, [(md5(start + t).digest(), t) for t in shown])]
+
+    @F.arrow_udf("array<string>")
+    def orders(gold: pa.Array, key: pa.Array) -> pa.Array:
+        starts = ("|".join([str(seed), "permutation", *([] if k is None else [k])]).encode() + b"|" for k in key.to_pylist())
+        found = [first(tools, start) for tools, start in zip(gold.cast(pa.list_(pa.binary())).to_pylist(), starts, strict=True)]
+        return pa.array(found, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+
+    return orders(gold, key.cast("string"))
+
+
+def multi_shuffle_samples(records: DataFrame, target: int | Callable[[int], int], rounds: int = 3, seed: int = 42) -> DataFrame:
+    """id, round, shown (joined by commas), gold: every record (id, gold of 2 to ``CANDIDATES`` tools) once in another order than its own, then, round by round and in seeded order, in
+    orders not yet used, until there are ``target``, which may be a function of the number of records. Fewer come out where orders or ``rounds`` are used up.
+
+    Rows of each round are counted by the first digits of their hash; only those of the one of 4096 buckets that the target cuts are sorted."""
+    most = F.least(F.lit(rounds), F.factorial(F.size("gold")) - 1).cast("int")
+    rows = records.where(F.size("gold").between(2, CANDIDATES)).select("id", "gold", F.sequence(F.lit(1), most).alias("rounds"))
+    hashed = lambda r: seeded(seed, "shuffled", F.col("id"), r)
+    bucket = lambda r: F.substring(hashed(r), 1, 3)
+    each = rows.select("id", F.explode("rounds").alias("round")).groupBy("round", bucket(F.col("round")).alias("bucket"))
+    counts = sorted(tuple(r) for r in each.agg(F.count(F.lit(1))).collect())
+    cut = cut_at(counts, target if isinstance(target, int) else target(sum(n for k, _, n in counts if k == 1)))
+    if cut:
+        k, at, left = cut
+        whole = rows.withColumn("rounds", F.filter("rounds", lambda r: (r < k) | ((r == k) & (bucket(r) < at)))).where(F.size("rounds") > 0)
+        last = rows.where((F.size("rounds") >= k) & (bucket(F.lit(k)) == at)).orderBy(hashed(F.lit(k))).limit(left)
+        rows = whole.unionByName(last.withColumn("rounds", F.array(F.lit(k))))
+    rows = rows.withColumn("unused", first_unused_orders(F.col("gold"), seed, F.col("id"), rounds)).withColumn("round", F.explode("rounds"))
+    return rows.select("id", "round", F.element_at("unused", F.col("round")).alias("shown"), "gold")
 
 
 def multi_hard_samples(records: DataFrame, n: int, seed: int = 42) -> DataFrame:

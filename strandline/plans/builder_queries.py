@@ -13,6 +13,8 @@ from .registry import Registry, read
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
 PER_TOOL, PARTIAL, HARD = 20, 1200, 300
+#: Suppliers that are sent to all lines.
+SUPPLIERS = 2_000_000
 
 
 def seeded_sql(purpose: str, *key: str) -> str:
@@ -53,10 +55,15 @@ def pools(spark, sf):
 
 
 def chains(spark, sf):
+    """id, gold: the tools of an order by their first line. Lines are shuffled once, by order; suppliers are sent to them if they are few."""
     nation = read(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("tool"))
-    supplier = read(spark, sf, "supplier").join(F.broadcast(nation), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "tool")
-    first = read(spark, sf, "lineitem").join(supplier, "l_suppkey").groupBy(F.col("l_orderkey").alias("id"), "tool").agg(F.min("l_linenumber").alias("pos"))
-    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tool"))), lambda s: s["tool"]).alias("gold"))
+    suppliers = read(spark, sf, "supplier")
+    few_suppliers = suppliers.limit(SUPPLIERS + 1).count() <= SUPPLIERS
+    supplier = suppliers.join(F.broadcast(nation), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "tool")
+    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_suppkey", F.col("l_linenumber").alias("pos"))
+    lines = lines.join(F.broadcast(supplier) if few_suppliers else supplier, "l_suppkey")
+    ordered = F.sort_array(F.collect_list(F.struct(F.isnull("pos").alias("last"), "pos", "tool")))
+    return lines.groupBy("id").agg(F.array_distinct(F.transform(ordered, lambda s: s["tool"])).alias("gold"))
 
 
 def text(c):
@@ -155,8 +162,7 @@ def few(spark, sf):
 
 
 def shuffled(spark, sf):
-    records = few(spark, sf)
-    return B.multi_shuffle_samples(records, records.count() * 3 // 2)
+    return B.multi_shuffle_samples(few(spark, sf), lambda n: n * 3 // 2)
 
 
 @_r.add(f"{SHUFFLED} SELECT id, len(unused) AS orders, unused[1] AS first FROM un")
@@ -168,7 +174,7 @@ def h27_permutation_table(spark, sf):
 
 @_r.add(f"{SHUFFLED} SELECT id, round, shown FROM shuffled")
 def j12_sft_multi_shuffle(spark, sf):
-    return shuffled(spark, sf).withColumn("round", F.col("round").cast("long"))
+    return shuffled(spark, sf).select("id", F.col("round").cast("long").alias("round"), "shown")
 
 
 HARDS = f"""
@@ -193,8 +199,7 @@ def j13_sft_multi_hard(spark, sf):
 def built(spark, sf):
     """kind, id, gold, shown of all samples of the three builders."""
     one = single(spark, sf).select(F.lit("single").alias("kind"), F.concat_ws("-", "question", "round").alias("id"), F.array("tool").alias("gold"), "shown")
-    own = few(spark, sf)
-    two = shuffled(spark, sf).join(own, "id").select(F.lit("multi_shuffle").alias("kind"), F.concat_ws("-", "id", "round").alias("id"), "gold", F.split("shown", ",").alias("shown"))
+    two = shuffled(spark, sf).select(F.lit("multi_shuffle").alias("kind"), F.concat_ws("-", "id", "round").alias("id"), "gold", F.split("shown", ",").alias("shown"))
     three = hard(spark, sf).select(F.lit("multi_hard").alias("kind"), F.col("id").cast("string").alias("id"), "gold", "shown")
     return one.unionByName(two).unionByName(three)
 
